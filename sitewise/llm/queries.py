@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding, urls
-from .common import table
+from . import bpe, quality, sharding, tokenfile, urls
+from .common import shared_path, table
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "tokens")
+    manifest = tokenfile.write_token_files(table(spark, sf_dir, "documents"), folder, _tokenizer("word_bpe_49k.json"), end_id=2)
+    return tokenfile.read_token_files(spark, manifest)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +38,19 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), listed)
 
 
-QUERIES = {"op5_quality_rules": op5_quality_rules, "op6_sharding": op6_sharding, "op7_url_filter": op7_url_filter}
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.bpe_round_trip(docs, _tokenizer("byte_bpe_50k.json"))
+    return coded.select("doc_id", *(c.alias(k) for k, c in bpe.digests(coded).items()))
+
+
+QUERIES = {
+    "op3_token_files": op3_token_files,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_sharding": op6_sharding,
+    "op7_url_filter": op7_url_filter,
+    "op9_byte_bpe": op9_byte_bpe,
+}
 
 
 _LISTED = ", ".join(f"'{x}'" for x in urls.LISTED)
