@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, sharding, tokenfile, urls
+from . import audio, bpe, quality, sharding, tokenfile, urls
 from .common import shared_path, table
 
 
@@ -38,6 +38,26 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), listed)
 
 
+def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = audio.text_to_audio(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    stored = media.withColumns({"media_bytes": F.octet_length("media").cast("bigint"), "media_sha256": F.sha2("media", 256)})
+    read = audio.read_audio(stored)
+    info = F.col("info")
+    note = info["tags"]["TXXX:payload"]
+    read = read.withColumns({"n_bytes": F.substring_index(note, ";", -1).cast("bigint"), "payload_bytes": F.substring_index(note, ";", 1).cast("bigint")})
+    read = read.withColumn("payload", F.substring(info["body"], F.lit(1), F.col("payload_bytes").cast("int")))
+    feature = F.format_string(
+        "mpeg%s layer%d %dHz %dch frames=%d/%d samples=%d us=%d crc=%d/%d skipped=%d seek=%08x", info["version"], info["layer"], info["rate"],
+        info["channels"], info["frames"], info["table_frames"], info["samples"], info["duration_us"], info["crc_good"], info["crc_good"] + info["crc_bad"],
+        info["skipped"], F.crc32(F.array_join(info["offsets"].cast("array<string>"), ",").cast("binary")),
+    )
+    return read.select(
+        "doc_id", "n_bytes", "payload_bytes", F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring(F.col("payload"), (F.col("payload_bytes") - 63).cast("int"), F.lit(64))).alias("tail_crc32"),
+        "media_bytes", "media_sha256", feature.alias("feature"),
+    )
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.bpe_round_trip(docs, _tokenizer("byte_bpe_50k.json"))
@@ -49,6 +69,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
     "op7_url_filter": op7_url_filter,
+    "op8_mpeg_audio": op8_mpeg_audio,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
