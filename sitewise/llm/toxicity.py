@@ -16,7 +16,7 @@ from .common import hashed_sample, small_batches, stored
 WINDOW = 8
 
 #: Bytes of the dictionary of ordinary text.
-DICTIONARY = 24576
+DICTIONARY = 12288
 
 
 @dataclass(frozen=True)
@@ -87,7 +87,7 @@ def _segments(texts: list[set[str]], ordinary: dict[str, int], n_ordinary: int,
     return out
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 4_000, snippets: int = 20_000, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 4_000, snippets: int = 8_000, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Train both dictionaries and the threshold on a bounded sample of labelled rows.
 
     The bound: about ``sample`` rows of each label, chosen by a hash of the id, equal texts
@@ -141,7 +141,7 @@ def _ordinary_content(rows: DataFrame, snippets: int) -> bytes:
     all_ = hashed_sample(all_, "w", all_.count(), snippets, seed=2).orderBy("w")
     samples = [f" {r.w} ".encode() for r in all_.collect()]
     try:
-        return z.train_dictionary(DICTIONARY, samples, level=3).as_bytes()[-DICTIONARY:]
+        return z.train_dictionary(DICTIONARY, samples, k=200, d=8, level=3).as_bytes()[-DICTIONARY:]
     except z.ZstdError:  # too few windows to train on: they are the content themselves
         return b"".join(samples)[-DICTIONARY:]
 
