@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, langid, quality, sharding, tokenfile, toxicity, urls
+from . import audio, bpe, jaccard, langid, mixing, quality, sharding, tokenfile, toxicity, urls
 from .common import fold, shared_path, table
 
 
@@ -22,6 +22,22 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "saved")
 
 
+#: Domains are the combinations of the two labels; weights are shares of expected tokens.
+WEIGHTS = {"quality=1 toxic=0": 0.90, "quality=0 toxic=0": 0.07, "quality=1 toxic=1": 0.02, "quality=0 toxic=1": 0.01}
+
+
+def label_domain():
+    return F.when(F.col("quality").isNotNull() & F.col("toxic").isNotNull(), F.format_string("quality=%d toxic=%d", "quality", "toxic"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model, mix, scored = mixing.mix_rates(docs, labels, label_domain(), WEIGHTS)
+    rows = scored.withColumn("rate", mix.rate("posterior"))
+    best = F.get(F.lit(model.domains), (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int"))
+    return rows.select("doc_id", "n_tokens", best.alias("domain"), "posterior", "rate", mixing.copies(F.col("rate"), "doc_id").alias("copies"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "tokens")
     manifest = tokenfile.write_token_files(table(spark, sf_dir, "documents"), folder, _tokenizer("word_bpe_49k.json"), end_id=2)
@@ -78,8 +94,13 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", *(c.alias(k) for k, c in bpe.digests(coded).items()))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_mixing": op2_mixing,
     "op3_token_files": op3_token_files,
     "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
@@ -87,6 +108,7 @@ QUERIES = {
     "op7_url_filter": op7_url_filter,
     "op8_mpeg_audio": op8_mpeg_audio,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 
