@@ -21,14 +21,24 @@ WEIGHTS = {"quality=1 toxic=0": 0.90, "quality=0 toxic=0": 0.02, "quality=1 toxi
 LIFT = {"quality=1 toxic=0": 1.1}
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the other columns in one struct, so that no operator's column meets theirs."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*rest).alias("__rest") if rest else F.lit(None).alias("__rest"))
+
+
+def _unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*(F.col(c) if c in ("doc_id", "text") else F.col("__rest")[c].alias(c) for c in columns))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rules = quality.fit_rules(docs, table(spark, sf_dir, "labels"))
-    return quality.judge_quality(docs, rules).filter("kept").select(*docs.columns)
+    return _unpacked(quality.judge_quality(_packed(docs), rules).filter("kept"), docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go: no letter, or too far from every language that was learned."""
-    return langid.identify(docs, langid.fit_centroids(docs)).filter("not rejected").select(*docs.columns)
+    return _unpacked(langid.identify(_packed(docs), langid.fit_centroids(docs)).filter("not rejected"), docs.columns)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +52,9 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its rate says: whole copies, the fraction by a hash of its id."""
     model, mix, _ = mixing.mix_rates(docs, table(spark, sf_dir, "labels"), label_domain(), WEIGHTS, lift=LIFT)
-    rows = mixing.score_domains(docs, model)
-    rows = rows.withColumn("__copies", mixing.copies(mix.rate("posterior"), "doc_id"))
-    return rows.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*docs.columns)
+    rows = mixing.score_domains(_packed(docs), model)
+    rows = rows.select("doc_id", "text", "__rest", mixing.copies(mix.rate("posterior"), "doc_id").alias("__copies"))
+    return _unpacked(rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))), docs.columns)
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
