@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sitewise.adapter import DUCK_CALLS, DUCK_SITES, calls, sites, table
 from sitewise.functions import genotype as g
-from sitewise.operators import bench, counts, filters, format_stats, ordered, projection, reshape, setops
+from sitewise.operators import bench, counts, filters, format_stats, ordered, plugins, projection, reshape, setops
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -531,3 +531,117 @@ def site_tags(spark, sf_dir):
 def events_tumbling(spark, sf_dir):
     ev = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     return ev.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "event_type", "n")
+
+
+@query("WITH e AS (SELECT event_id, user_id, ts, CASE WHEN ts - LAG(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, SUM(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, MIN(ts) AS start, COUNT(*) AS n FROM s GROUP BY user_id, k")
+def events_sessions(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    # a session ends strictly before the gap has passed; one microsecond more makes the gap inclusive
+    out = ev.groupBy(F.session_window("ts", "30 minutes 1 microsecond").alias("w"), "user_id").agg(F.count("*").alias("n"))
+    return out.select("user_id", F.col("w.start").alias("start"), "n")
+
+
+@query(_HISTORY + ", r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY dataset, metric ORDER BY month DESC) AS k FROM l), w AS (SELECT dataset, metric, list(value ORDER BY month) AS v FROM r WHERE k <= 8 GROUP BY 1, 2)\nSELECT dataset, metric, array_to_string(list_transform(v, lambda x: substr('▁▂▃▄▅▆▇█', CASE WHEN list_max(v) = list_min(v) THEN 1 ELSE CAST(FLOOR((x - list_min(v)) * 7 / (list_max(v) - list_min(v))) AS INT) + 1 END, 1)), '') AS spark FROM w")
+def bench_sparkline(spark, sf_dir):
+    return bench.sparkline(_history(spark, sf_dir), ("dataset", "metric"), "month")
+
+
+_ALTS = ", x AS (SELECT chrom, pos, ref, UNNEST(string_split(alt, ',')) AS a FROM sites)\n"
+_TYPE = "CASE WHEN a = '.' THEN 'ref' WHEN contains(a, '<') OR contains(a, '*') THEN 'other' WHEN length(ref) = length(a) AND length(ref) = 1 THEN 'snp' WHEN length(ref) = length(a) THEN 'mnp' ELSE 'indel' END"
+
+
+@query(DUCK_SITES + _ALTS + f"SELECT {_TYPE} AS type, COUNT(*) AS n FROM x GROUP BY 1")
+def type_counts(spark, sf_dir):
+    return plugins.type_counts(sites(spark, sf_dir))
+
+
+@query(DUCK_SITES + _ALTS + "SELECT side, length, COUNT(*) AS n FROM (SELECT 'ref' AS side, length(ref) AS length FROM x UNION ALL SELECT 'alt', length(a) FROM x) GROUP BY 1, 2")
+def allele_lengths(spark, sf_dir):
+    return plugins.allele_lengths(sites(spark, sf_dir))
+
+
+@query(DUCK_CALLS + ", c AS (" + _COUNTS + " GROUP BY chrom, pos)\nSELECT LEAST(CAST(FLOOR(af * 10) AS INT), 9) AS bin, COUNT(*) AS n FROM c GROUP BY 1")
+def af_histogram(spark, sf_dir):
+    return plugins.frequency_histogram(counts.allele_counts(calls(spark, sf_dir), KEYS))
+
+
+@query(DUCK_CALLS + "SELECT sample_idx, COUNT(*) AS n, COUNT(*) FILTER (a1 < 0 OR a2 < 0) AS missing, COUNT(*) FILTER (a1 = 0 AND a2 = 0) AS hom_ref, COUNT(*) FILTER (a1 >= 0 AND a2 >= 0 AND a1 <> a2) AS het, COUNT(*) FILTER (a1 > 0 AND a1 = a2) AS hom_alt FROM calls GROUP BY 1")
+def sample_statistics(spark, sf_dir):
+    return plugins.sample_statistics(calls(spark, sf_dir))
+
+
+@query(DUCK_CALLS + "SELECT pos, sample_idx, GREATEST(a1, 0) AS a1, GREATEST(a2, 0) AS a2 FROM calls")
+def missing_to_ref(spark, sf_dir):
+    return plugins.missing_to_ref(calls(spark, sf_dir)).select("pos", "sample_idx", "a1", "a2")
+
+
+@query(DUCK_CALLS + ", al AS (SELECT pos, a, COUNT(*) AS c FROM (SELECT pos, a1 AS a FROM calls UNION ALL SELECT pos, a2 FROM calls) WHERE a >= 0 GROUP BY 1, 2), m AS (SELECT pos, a AS major FROM al QUALIFY ROW_NUMBER() OVER (PARTITION BY pos ORDER BY c DESC, a) = 1)\nSELECT pos, sample_idx, CASE WHEN a1 < 0 THEN COALESCE(major, 0) ELSE a1 END AS a1, CASE WHEN a2 < 0 THEN COALESCE(major, 0) ELSE a2 END AS a2 FROM calls LEFT JOIN m USING (pos)")
+def missing_to_major(spark, sf_dir):
+    return plugins.missing_to_major(calls(spark, sf_dir), ("pos",)).select("pos", "sample_idx", "a1", "a2")
+
+
+@query(DUCK_CALLS + "SELECT pos, sample_idx, CASE WHEN dp < 10 THEN -1 ELSE a1 END AS a1, CASE WHEN dp < 10 THEN -1 ELSE a2 END AS a2 FROM calls")
+def set_genotypes(spark, sf_dir):
+    return plugins.set_genotypes(calls(spark, sf_dir), "dp < 10").select("pos", "sample_idx", "a1", "a2")
+
+
+@query(DUCK_CALLS + ", x AS (SELECT pos, sample_idx % 2 = 0 AS g, UNNEST(list_distinct([a1, a2])) AS allele FROM calls)\nSELECT pos, allele, COUNT(*) AS cells FROM x WHERE allele > 0 GROUP BY 1, 2 HAVING bool_and(g)")
+def novel_alleles(spark, sf_dir):
+    return plugins.novel_alleles(calls(spark, sf_dir), "sample_idx % 2 = 0", ("pos",))
+
+
+@query(DUCK_CALLS + ", m AS (SELECT pos, bit_or(CASE sample_idx WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 4 END) AS mask FROM calls WHERE sample_idx IN (1, 2, 3) AND (a1 > 0 OR a2 > 0) GROUP BY 1)\nSELECT CAST(mask AS BIGINT) AS mask, COUNT(*) AS n FROM m GROUP BY 1")
+def shared_counts(spark, sf_dir):
+    return plugins.shared_counts(calls(spark, sf_dir), (1, 2, 3), ("pos",))
+
+
+@query("WITH s AS (SELECT p_brand AS chrom, p_partkey AS pos, p_partkey + p_size AS e FROM part), r AS (SELECT *, MAX(e) OVER (PARTITION BY chrom ORDER BY pos, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach, LEAD(pos) OVER (PARTITION BY chrom ORDER BY pos, e) AS nx FROM s) SELECT chrom, pos, e AS \"end\" FROM r WHERE COALESCE(reach, -1) < pos AND (nx IS NULL OR nx > e)")
+def without_overlaps(spark, sf_dir):
+    df = table(spark, sf_dir, "part").selectExpr("p_brand AS chrom", "p_partkey AS pos", "p_partkey + p_size AS end")
+    return plugins.without_overlaps(df)
+
+
+@query("WITH s AS (SELECT p_brand AS chrom, p_partkey AS pos, p_size // 10 AS b, p_size AS dp FROM part), r AS (SELECT *, CASE WHEN LAG(b) OVER (PARTITION BY chrom ORDER BY pos) = b THEN 0 ELSE 1 END AS n FROM s), k AS (SELECT *, SUM(n) OVER (PARTITION BY chrom ORDER BY pos) AS k FROM r) SELECT chrom, MIN(pos) AS start, MAX(pos) AS end_pos, MIN(b) AS band, COUNT(*) AS n, MIN(dp) AS min_dp FROM k GROUP BY chrom, k")
+def gvcf_reblock(spark, sf_dir):
+    df = table(spark, sf_dir, "part").selectExpr("p_brand AS chrom", "p_partkey AS pos", "p_size AS dp")
+    return plugins.reblock(df, F.expr("dp div 10"))
+
+
+@query("SELECT p_brand AS chrom, p_partkey AS pos, (ROW_NUMBER() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 7 AS chunk FROM part")
+def scatter_chunks(spark, sf_dir):
+    return plugins.scatter(sites(spark, sf_dir), 7).select("chrom", "pos", "chunk")
+
+
+@query(DUCK_CALLS + ", e AS (SELECT pos, sample_idx, power(10.0, -pl0 / 10.0) AS x, power(10.0, -pl1 / 10.0) AS y, power(10.0, -pl2 / 10.0) AS z FROM calls)\nSELECT pos, sample_idx, ROUND(x / (x + y + z), 5) AS p0, ROUND(y / (x + y + z), 5) AS p1, ROUND(z / (x + y + z), 5) AS p2 FROM e")
+def pl_probabilities(spark, sf_dir):
+    p = plugins.pl_to_probabilities(F.col("pl"))
+    df = _pl(calls(spark, sf_dir)).withColumn("p", p)
+    return df.select("pos", "sample_idx", *(F.round(F.get("p", F.lit(i)), 5).alias(f"p{i}") for i in range(3)))
+
+
+@query(DUCK_CALLS + ", h AS (SELECT child.pos, child.a1 AS c1, child.a2 AS c2, m.a1 AS m1, m.a2 AS m2, f.a1 AS f1, f.a2 AS f2 FROM calls child JOIN calls m ON m.pos = child.pos AND m.sample_idx = 2 JOIN calls f ON f.pos = child.pos AND f.sample_idx = 3 WHERE child.sample_idx = 1 AND LEAST(child.a1, child.a2, m.a1, m.a2, f.a1, f.a2) >= 0)\nSELECT 2 AS mother, 3 AS father, 1 AS child, COUNT(*) AS n, COUNT(*) FILTER (NOT ((c1 IN (m1, m2) AND c2 IN (f1, f2)) OR (c2 IN (m1, m2) AND c1 IN (f1, f2)))) AS bad FROM h HAVING COUNT(*) > 0")
+def mendelian(spark, sf_dir):
+    trios = spark.createDataFrame([(2, 3, 1)], "mother long, father long, child long")
+    return plugins.mendelian(calls(spark, sf_dir), trios, ("pos",))
+
+
+@query(DUCK_CALLS + "SELECT sample_idx, COUNT(*) AS n, ROUND(AVG(ad1 / (ad0 + ad1)), 6) AS alt_share FROM calls WHERE a1 >= 0 AND a2 >= 0 AND a1 <> a2 AND ad0 + ad1 > 0 GROUP BY 1")
+def allele_balance(spark, sf_dir):
+    return plugins.allele_balance(calls(spark, sf_dir))
+
+
+@query(DUCK_CALLS + ", h AS (SELECT *, a1 > a2 AS s, LAG(a1 > a2) OVER (PARTITION BY sample_idx ORDER BY chrom, pos) AS b FROM calls WHERE a1 >= 0 AND a2 >= 0 AND a1 <> a2)\nSELECT sample_idx, COUNT(*) AS het, CAST(SUM(CASE WHEN b IS NULL THEN NULL WHEN s <> b THEN 1 ELSE 0 END) AS BIGINT) AS switches FROM h GROUP BY 1")
+def switch_points(spark, sf_dir):
+    return plugins.switch_points(calls(spark, sf_dir))
+
+
+@query(DUCK_SITES + "SELECT chrom, pos FROM sites WHERE TRY_CAST(qual AS DOUBLE) > 20 AND (alt = 'G' OR pos % 2 = 1) AND NOT regexp_matches(id, '7$')".replace("pos % 2 = 1", "alt LIKE '%,T,%'"))
+def expression_filter(spark, sf_dir):
+    from sitewise.functions.expressions import compile_filter
+
+    return sites(spark, sf_dir).filter(compile_filter('QUAL>20 && (ALT="G" || N_ALT>2) && ID!~"7$"')).select("chrom", "pos")
+
+
+@query(DUCK_CALLS + f", t AS (SELECT chrom, pos, CAST({_NS} AS DOUBLE) AS n, CAST({_TAC} AS DOUBLE) AS ac, CAST({_HET} AS DOUBLE) AS het FROM calls GROUP BY 1, 2), u AS (SELECT *, ac / NULLIF(2 * n, 0) AS p, (ac - het) / 2 AS hom FROM t)\nSELECT chrom, pos, ROUND(CASE WHEN n > 0 THEN CASE WHEN n*p*p > 0 THEN (hom - n*p*p)*(hom - n*p*p)/(n*p*p) ELSE 0 END + CASE WHEN 2*n*p*(1-p) > 0 THEN (het - 2*n*p*(1-p))*(het - 2*n*p*(1-p))/(2*n*p*(1-p)) ELSE 0 END + CASE WHEN n*(1-p)*(1-p) > 0 THEN (n - hom - het - n*(1-p)*(1-p))*(n - hom - het - n*(1-p)*(1-p))/(n*(1-p)*(1-p)) ELSE 0 END END, 4) AS chi2 FROM u")
+def hardy_weinberg(spark, sf_dir):
+    return plugins.hardy_weinberg(setops.site_tags(calls(spark, sf_dir), KEYS)).select("chrom", "pos", "chi2")
