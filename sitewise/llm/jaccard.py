@@ -198,7 +198,8 @@ def _survivors(left, right, band: int, same: bool):
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
-    """Rows (task, left, rights): pairs that survive pruning, each once, in lists of at most a block.
+    """Rows (task, left, rights): pairs that survive pruning, each once, in lists of at most a block;
+    and for each task a row (task, needs) with the nodes of all its pairs, each once.
 
     A bucket of a band with more members or text than a block is split into g hashed
     blocks, and each pair of blocks is a task of its own: no task holds a whole bucket.
@@ -223,23 +224,31 @@ def _candidates(nodes: DataFrame) -> DataFrame:
             for b in batches:
                 yield pa.RecordBatch.from_pydict({"key": pa.array([tuple(x.values()) for x in b.column(0).to_pylist()], pa.list_(pa.int64())), "right": b.column(1), "node": b.column(2), "bands": b.column(3)})
 
-        tasks, lefts, rights = [], [], []
+        def batch(out):
+            task, left, rights, needs = zip(*out) if out else ((), (), (), ())
+            lists = pa.list_(pa.binary())
+            return pa.RecordBatch.from_pydict({"task": pa.array(task, pa.int64()), "left": pa.array(left, pa.binary()), "rights": pa.array(rights, lists), "needs": pa.array(needs, lists)})
+
+        out: list[tuple] = []
         for key, rows in _grouped(flat(), ["key", "right", "node", "bands"]):
             task, band, _, lo, hi = key
             sig = np.array([r[3] for r in rows], np.int64)
             cut = sum(not r[1] for r in rows) if lo != hi else len(rows)
             a, b, off = (sig, sig, 0) if lo == hi else (sig[:cut], sig[cut:], cut)
+            used: set[int] = set()
             for i, j in _survivors(a, b, band, lo == hi):
                 for k in np.unique(i):
-                    tasks.append(task)
-                    lefts.append(rows[int(k)][2])
-                    rights.append([rows[int(x) + off][2] for x in j[i == k]])
-            if len(tasks) >= 1000:
-                yield pa.RecordBatch.from_pydict({"task": pa.array(tasks, pa.int64()), "left": pa.array(lefts, pa.binary()), "rights": pa.array(rights, pa.list_(pa.binary()))})
-                tasks, lefts, rights = [], [], []
-        yield pa.RecordBatch.from_pydict({"task": pa.array(tasks, pa.int64()), "left": pa.array(lefts, pa.binary()), "rights": pa.array(rights, pa.list_(pa.binary()))})
+                    own = [int(x) + off for x in j[i == k]]
+                    out.append((task, rows[int(k)][2], [rows[x][2] for x in own], None))
+                    used.update(own, (int(k),))
+            if used:
+                out.append((task, None, None, [rows[x][2] for x in sorted(used)]))
+            if len(out) >= 1000:
+                yield batch(out)
+                out = []
+        yield batch(out)
 
-    return rows.mapInArrow(run, "task long, left binary, rights array<binary>")
+    return rows.mapInArrow(run, "task long, left binary, rights array<binary>, needs array<binary>")
 
 
 def shingle_set(text: str, known: dict) -> frozenset:
@@ -258,9 +267,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     ``texts`` has node, text and copies. A task gets the texts of its block once each. Rows
     with b are a spanning forest of the task's links, enough for components.
     """
-    need = pairs.select("task", F.explode(F.concat(F.array("left"), "rights")).alias("node")).distinct()
+    need = pairs.select("task", F.explode("needs").alias("node")).distinct()
     give = need.join(texts, "node").select("task", F.lit(0).alias("kind"), "node", "text", "copies", F.lit(None).cast("array<binary>").alias("rights"))
-    ask = pairs.select("task", F.lit(1).alias("kind"), F.col("left").alias("node"), F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("copies"), "rights")
+    ask = pairs.filter("left is not null").select("task", F.lit(1).alias("kind"), F.col("left").alias("node"), F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("copies"), "rights")
     rows = give.unionByName(ask).repartition("task").sortWithinPartitions("task", "kind")
 
     def run(batches: Iterator) -> Iterator:
@@ -349,7 +358,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     firsts = worded.join(nodes, (F.col("__node") == F.col("node")) & F.col("__id").eqNullSafe(F.col("rep"))).withColumnRenamed("__bands", "bands")
     firsts = stored(firsts.dropDuplicates(["node"]).select("node", "rep", "copies", "chars", "bands"), "nodes")
     pairs = stored(_candidates(firsts), "pairs")
-    wanted = pairs.select(F.explode(F.concat(F.array("left"), "rights")).alias("node")).distinct().join(firsts.select("node", "rep", "copies"), "node")
+    wanted = pairs.select(F.explode("needs").alias("node")).distinct().join(firsts.select("node", "rep", "copies"), "node")
     texts = rows.join(wanted, F.col("__id").eqNullSafe(F.col("rep"))).select("node", F.col("__t").alias("text"), "copies")
     texts = texts.filter(F.substring(F.unhex(F.sha2("text", 256)), 1, 16) == F.col("node")).dropDuplicates(["node"])
     links = stored(_verified(pairs, texts), "links")
