@@ -30,24 +30,22 @@ class Classifier:
     prior: list[float]
     odds: dict[str, list[float]] = field(default_factory=dict)
 
-    def evidence(self, features: Column) -> list[Column]:
-        """Unscaled log posterior of each domain from an array of distinct features."""
-        known = F.array_intersect(features, F.lit([*self.odds])) if self.odds else F.array().cast("array<string>")
-        flat = ",".join(f"{x!r}" for v in self.odds.values() for x in v)
-        table = F.split(F.lit(flat), ",").cast("array<double>") if self.odds else None
-        names = F.lit([*self.odds]) if self.odds else None
-        k = len(self.domains)
-        start = F.array(*(F.lit(x) for x in self.prior))
-        if table is None:
-            return [start[i] for i in range(k)]
-        total = F.aggregate(known, start, lambda a, f: F.zip_with(a, F.slice(table, (F.array_position(names, f).cast("int") - 1) * k + 1, F.lit(k)), lambda x, y: x + y))
-        return [total[i] for i in range(k)]
+    def posterior(self, df: DataFrame, features: str = "features", name: str = "posterior") -> DataFrame:
+        """``df`` with an array of posteriors in the order of ``domains``; they add up to 1.
 
-    def posterior(self, features: Column) -> Column:
-        """Array of posteriors in the order of ``domains``; they add up to 1."""
-        e = F.array(*self.evidence(features))
-        top = F.transform(F.zip_with(e, F.array_repeat(F.array_max(e), len(self.domains)), lambda x, m: x - m), F.exp)
-        return F.zip_with(top, F.array_repeat(F.aggregate(top, F.lit(0.0), lambda a, x: a + x), len(self.domains)), lambda x, s: x / s)
+        Each step is a column of its own that later ones use more than once, so that none is
+        computed again for each use.
+        """
+        k, names = len(self.domains), [*self.odds]
+        start = F.array(*(F.lit(x) for x in self.prior))
+        if names:
+            table = F.split(F.lit(",".join(f"{x!r}" for v in self.odds.values() for x in v)), ",").cast("array<double>")
+            odds = lambda f: F.slice(table, (F.array_position(F.lit(names), f).cast("int") - 1) * k + 1, F.lit(k))
+            start = F.aggregate(F.array_intersect(features, F.lit(names)), start, lambda a, f: F.zip_with(a, odds(f), lambda x, y: x + y))
+        df = df.withColumn("__e", start)
+        df = df.withColumn("__x", F.zip_with("__e", F.array_repeat(F.array_max("__e"), k), lambda x, m: F.exp(x - m)))
+        total = F.aggregate("__x", F.lit(0.0), lambda a, x: a + x)
+        return df.withColumn(name, F.zip_with("__x", F.array_repeat(total, k), lambda x, s: x / s)).drop("__e", "__x")
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -74,7 +72,8 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, sample: int
     """Classifier of ``domain`` (an expression over ``labels``) from a bounded labelled sample.
 
     The bound: about ``sample`` labelled rows, chosen by a hash of the id, and the ``most``
-    features that tell the domains apart best (largest log-likelihood ratio). Rows without
+    features that tell the domains apart best (largest log-likelihood ratio; words only if
+    three times as frequent in some domain as in all). Rows without
     a domain teach nothing. Counts are smoothed by one half.
     """
     labels = labels.select(doc_id, domain.cast("string").alias("__y")).filter(F.col("__y").isNotNull() & F.col(doc_id).isNotNull())
@@ -90,16 +89,17 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, sample: int
     total = sum((F.col(f"c{i}") for i in range(len(domains))), F.lit(0))
     gain = sum((F.when(F.col(f"c{i}") > 0, F.col(f"c{i}") * F.log(F.col(f"c{i}") * n / (F.col("c") * sizes[d]))).otherwise(0.0) for i, d in enumerate(domains)), F.lit(0.0))
     counts = counts.withColumn("c", total).filter("c >= 5").withColumn("gain", gain)
-    best = counts.filter((F.col("gain") > 8) | F.col("f").startswith("#")).orderBy(F.desc(F.col("f").startswith("#")), F.desc("gain"), "f").limit(most)
+    lift = F.greatest(*(F.col(f"c{i}") * n / (F.col("c") * sizes[d]) for i, d in enumerate(domains)), F.lit(0.0))
+    best = counts.filter(((F.col("gain") > 15) & (lift >= 3)) | F.col("f").startswith("#")).orderBy(F.desc(F.col("f").startswith("#")), F.desc("gain"), "f").limit(most)
     odds = {r.f: [math.log((r[f"c{i}"] + 0.5) / (sizes[d] + 1.0)) - math.log((r.c + 0.5) / (n + 1.0)) for i, d in enumerate(domains)] for r in best.collect()}
     return Classifier(domains, [math.log(sizes[d] / n) for d in domains], odds)
 
 
-def _rate(steps: list[list[float]], posterior: str) -> Column:
+def _rate(steps: list[list[float]], p: list[Column]) -> Column:
     """The rate after the given gradient steps, as one nested expression from rate 1 on."""
     r = F.lit(1.0)
     for e in steps:
-        r = F.greatest(F.lit(0.0), r - sum((F.get(posterior, F.lit(k)) * F.lit(x) for k, x in enumerate(e)), F.lit(0.0)))
+        r = F.greatest(F.lit(0.0), r - sum((c * F.lit(x) for c, x in zip(p, e)), F.lit(0.0)))
     return r
 
 
@@ -112,38 +112,59 @@ class Mix:
     expected: list[float]
 
     def rate(self, posterior: str) -> Column:
-        return _rate(self.steps, posterior)
+        return _rate(self.steps, [F.get(posterior, F.lit(i)) for i in range(len(self.targets))])
 
 
-def fit_rates(scored: DataFrame, targets: list[float], rounds: int = 40, tolerance: float = 1e-4) -> Mix:
+def fit_rates(scored: DataFrame, targets: list[float], rounds: int = 16, tolerance: float = 1e-3) -> Mix:
     """Nonnegative rates whose expected domain token totals match ``targets``.
 
     ``scored`` has ``n_tokens`` and ``posterior``. Minimises the sum over domains of
     (sum of rate * tokens * posterior - target)^2 / mass, from rate 1, in the metric of the
-    tokens; there the largest curvature is 1, so that a step of 1 always descends. A rate
-    is a function of the document's posteriors and of the domain errors of the rounds so
-    far: each round is one distributed sum of as many numbers as there are domains, no
-    state is kept by document and nothing is joined. Ends when all errors are below
-    ``tolerance`` of the total target, or after ``rounds``. A domain without mass, whose
-    target cannot be reached, is left out of the steps.
+    tokens; there the largest curvature is 1, so that a step of 1 always descends. Longer
+    steps follow Barzilai and Borwein: the exact step of the round before, from the matrix
+    of token-weighted posterior products, which one pass gives; if six rounds bring no
+    better error, steps are 1 from then on. A rate is a function of the document's
+    posteriors and of the domain errors of the rounds so far: each round is one distributed
+    sum of as many numbers as there are domains, no state is kept by document and nothing
+    is joined. Ends when all errors are below ``tolerance`` of the total target, or after
+    ``rounds``. A domain without mass, whose target cannot be reached, is left out.
     """
     k = len(targets)
-    sums = lambda r: [F.sum(r * F.col("n_tokens") * F.get("posterior", F.lit(i))).alias(f"s{i}") for i in range(k)]
-    mass = [x or 0.0 for x in scored.agg(*sums(F.lit(1.0))).first()]
-    steps, got = [], mass
-    for _ in range(rounds):
-        errors = [g - t if m > 0 else 0.0 for g, t, m in zip(got, targets, mass)]
-        if max(map(abs, errors), default=0.0) <= tolerance * max(sum(targets), 1e-12):
+    base = scored.select(F.col("n_tokens").cast("double").alias("n"), *(F.get("posterior", F.lit(i)).alias(f"p{i}") for i in range(k)))
+    p = [F.col(f"p{i}") for i in range(k)]
+
+    def totals(steps: list[list[float]]) -> list[float]:
+        # the rate is a column of its own, used by all sums
+        row = base.withColumn("r", _rate(steps, p)).agg(*(F.sum(F.col("r") * F.col("n") * x) for x in p)).first()
+        return [x or 0.0 for x in row]
+
+    first = base.agg(*(F.sum(F.col("n") * x) for x in p), *(F.sum(F.col("n") * p[i] * p[j]) for i in range(k) for j in range(k))).first()
+    mass = [first[i] or 0.0 for i in range(k)]
+    a = [[first[k + i * k + j] or 0.0 for j in range(k)] for i in range(k)]
+    limit = tolerance * max(sum(targets), 1e-12)
+    steps, got, best, size, plain = [], mass, (math.inf, 0), None, False
+    while True:
+        e = [g - t if m > 0 else 0.0 for g, t, m in zip(got, targets, mass)]
+        worst = max(map(abs, e), default=0.0)
+        best = min(best, (worst, len(steps)))
+        if worst <= limit or len(steps) == rounds:
             break
-        steps.append([e / m if m > 0 else 0.0 for e, m in zip(errors, mass)])
-        got = [x or 0.0 for x in scored.agg(*sums(_rate(steps, "posterior"))).first()]
-    return Mix(steps, targets, got)
+        d = [x / m if m > 0 else 0.0 for x, m in zip(e, mass)]
+        moved = [sum(x * y for x, y in zip(row, d)) for row in a]  # what a step of 1 takes from the totals
+        down, curved = sum(x * y for x, y in zip(d, moved)), sum(x * x / m for x, m in zip(moved, mass) if m > 0)
+        exact = down / curved if curved > 0 else 1.0
+        plain = plain or len(steps) - best[1] >= 6
+        use, size = 1.0 if plain else min(100.0, size or exact), exact
+        steps.append([use * x for x in d])
+        got = totals(steps)
+    steps = steps[: best[1]]
+    return Mix(steps, targets, totals(steps))
 
 
 def score_domains(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
     """``docs`` with ``n_tokens`` and ``posterior`` (array in the order of ``model.domains``)."""
     df = features(docs, text)
-    return df.withColumn("posterior", model.posterior(F.col("features"))).drop("features")
+    return model.posterior(df).drop("features")
 
 
 def wanted(weights: dict[str, float], domains: list[str], budget: float) -> list[float]:

@@ -23,7 +23,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Domains are the combinations of the two labels; weights are shares of expected tokens.
-WEIGHTS = {"quality=1 toxic=0": 0.90, "quality=0 toxic=0": 0.07, "quality=1 toxic=1": 0.02, "quality=0 toxic=1": 0.01}
+WEIGHTS = {"quality=1 toxic=0": 0.84, "quality=0 toxic=0": 0.07, "quality=1 toxic=1": 0.08, "quality=0 toxic=1": 0.01}
 
 
 def label_domain():
