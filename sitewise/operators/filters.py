@@ -91,3 +91,8 @@ def check_ploidy(df: DataFrame, ploidy: int = 2, gt: str = "gt") -> DataFrame:
     """Rows unchanged; a genotype of another width raises when it is read."""
     wrong = F.size(gt) != ploidy
     return df.withColumn(gt, F.when(wrong, F.raise_error(F.lit(f"genotype width is not {ploidy}"))).otherwise(F.col(gt)))
+
+
+def sample_names(df: DataFrame, n: int, seed: int = 42, name: str = "sample_idx") -> DataFrame:
+    """``n`` names chosen by a seeded hash: the same for any partitioning."""
+    return df.select(name).distinct().orderBy(F.xxhash64(F.col(name), F.lit(seed)), name).limit(n)

@@ -115,3 +115,32 @@ def coverage(df: DataFrame, thresholds: Sequence[int] = (63, 127), a: str = "pl1
     rest = F.least(*(F.abs(F.col(b) - r * F.col(a)) for r in ratios))
     one = df.filter(f"{a} > 0").agg(F.count("*").alias("n"), *(_count(rest <= t).alias(f"within_{t}") for t in thresholds))
     return one
+
+
+def entropy(df: DataFrame, value: Column) -> DataFrame:
+    """Shannon entropy of a column in bits, from its value counts."""
+    counts = df.groupBy(value.alias("v")).agg(F.count("*").alias("c"))
+    one = counts.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2("c")).alias("s"))
+    return one.select("n", F.round(F.log2("n") - F.col("s") / F.col("n"), 6).alias("bits"))
+
+
+def fallback_costs(cells: DataFrame, a: str = "pl1", b: str = "pl2", valid: str = "pl0 = 0", ratio: int = 11, sample: str = "sample_idx", order: Sequence[str] = ("chrom", "pos")) -> DataFrame:
+    """Bytes to store the pairs (a, b) of valid cells as values, as differences to the sample's
+    cell before, and as a with the residual of b to ``ratio`` times a."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy(sample).orderBy(*order)
+    df = cells.filter(valid).withColumns({"__a": F.lag(a).over(w), "__b": F.lag(b).over(w)})
+    size = lambda x: g.varint_len(g.zigzag(x))
+    x, y = F.col(a), F.col(b)
+    before = lambda c: F.coalesce(F.col(c), F.lit(0))
+    total = lambda c: F.sum(c).cast("bigint")
+    return df.agg(F.count("*").alias("n"), total(size(x) + size(y)).alias("plain"), total(size(x - before("__a")) + size(y - before("__b"))).alias("delta"), total(size(x) + size(y - ratio * x)).alias("residual"))
+
+
+def sparse(df: DataFrame, *fields: str) -> DataFrame:
+    """Rows in which some of the fields are present and not ``.``."""
+    some = F.lit(False)
+    for f in fields:
+        some = some | F.coalesce(F.col(f) != ".", F.lit(False))
+    return df.filter(some)

@@ -645,3 +645,41 @@ def expression_filter(spark, sf_dir):
 @query(DUCK_CALLS + f", t AS (SELECT chrom, pos, CAST({_NS} AS DOUBLE) AS n, CAST({_TAC} AS DOUBLE) AS ac, CAST({_HET} AS DOUBLE) AS het FROM calls GROUP BY 1, 2), u AS (SELECT *, ac / NULLIF(2 * n, 0) AS p, (ac - het) / 2 AS hom FROM t)\nSELECT chrom, pos, ROUND(CASE WHEN n > 0 THEN CASE WHEN n*p*p > 0 THEN (hom - n*p*p)*(hom - n*p*p)/(n*p*p) ELSE 0 END + CASE WHEN 2*n*p*(1-p) > 0 THEN (het - 2*n*p*(1-p))*(het - 2*n*p*(1-p))/(2*n*p*(1-p)) ELSE 0 END + CASE WHEN n*(1-p)*(1-p) > 0 THEN (n - hom - het - n*(1-p)*(1-p))*(n - hom - het - n*(1-p)*(1-p))/(n*(1-p)*(1-p)) ELSE 0 END END, 4) AS chi2 FROM u")
 def hardy_weinberg(spark, sf_dir):
     return plugins.hardy_weinberg(setops.site_tags(calls(spark, sf_dir), KEYS)).select("chrom", "pos", "chi2")
+
+
+_LEN = lambda c: f"CASE WHEN {c} < 128 THEN 1 WHEN {c} < 16384 THEN 2 WHEN {c} < 2097152 THEN 3 ELSE 4 END"
+_ZIG = lambda c: _LEN(f"(CASE WHEN {c} >= 0 THEN 2 * ({c}) ELSE -2 * ({c}) - 1 END)")
+
+
+@query(DUCK_CALLS + ", w AS (SELECT *, pl1 - COALESCE(LAG(pl1) OVER s, 0) AS da, pl2 - COALESCE(LAG(pl2) OVER s, 0) AS db FROM calls WHERE pl0 = 0 WINDOW s AS (PARTITION BY sample_idx ORDER BY chrom, pos))\n" + f"SELECT COUNT(*) AS n, CAST(SUM({_ZIG('pl1')} + {_ZIG('pl2')}) AS BIGINT) AS plain, CAST(SUM({_ZIG('da')} + {_ZIG('db')}) AS BIGINT) AS delta, CAST(SUM({_ZIG('pl1')} + {_ZIG('(pl2 - 11 * pl1)')}) AS BIGINT) AS residual FROM w")
+def pl_fallback_costs(spark, sf_dir):
+    return format_stats.fallback_costs(calls(spark, sf_dir))
+
+
+@query(DUCK_CALLS + ", c AS (SELECT ad0, COUNT(*) AS c FROM calls GROUP BY 1)\nSELECT CAST(SUM(c) AS BIGINT) AS n, ROUND(log2(SUM(c)) - SUM(c * log2(c)) / SUM(c), 6) AS bits FROM c")
+def ad_entropy(spark, sf_dir):
+    return format_stats.entropy(calls(spark, sf_dir), F.col("ad0"))
+
+
+@query(DUCK_SITES + "SELECT chrom, pos, qual FROM sites WHERE qual <> '.'")
+def sparse_fields(spark, sf_dir):
+    return format_stats.sparse(sites(spark, sf_dir), "qual").select("chrom", "pos", "qual")
+
+
+@query(DUCK_CALLS + "SELECT pos, sample_idx, CASE WHEN pl0 <> 0 AND pl1 = 0 THEN concat_ws(',', pl1, pl0, pl2) WHEN pl0 <> 0 AND pl2 = 0 THEN concat_ws(',', pl2, pl0, pl1) ELSE concat_ws(',', pl0, pl1, pl2) END AS pl, CASE WHEN pl0 = 0 THEN 0 WHEN pl1 = 0 THEN 1 WHEN pl2 = 0 THEN 2 ELSE -1 END AS at FROM calls")
+def pl_normal(spark, sf_dir):
+    x = g.pl_normal(F.col("pl"))
+    return _pl(calls(spark, sf_dir)).withColumn("x", x).select("pos", "sample_idx", F.array_join("x.pl", ",").alias("pl"), F.col("x.at").alias("at"))
+
+
+@query(_HISTORY.replace(", l AS", ", t AS (SELECT dataset, month, ROUND(n / NULLIF(total, 0), 4) AS throughput FROM h), l AS") + " SELECT * FROM t")
+def bench_throughput(spark, sf_dir):
+    h = _history(spark, sf_dir).groupBy("dataset", "month").pivot("metric", ["n", "elapsed_s"]).agg(F.first("value"))
+    return bench.throughput(h, "n", "elapsed_s").select("dataset", "month", "throughput")
+
+
+@query(DUCK_CALLS + ", s AS (SELECT chrom, pos, SUM(ad0 + ad1) AS s FROM calls GROUP BY 1, 2), d AS (SELECT s - LAG(s) OVER (PARTITION BY chrom ORDER BY pos) AS d FROM s), v AS (SELECT CAST(ABS(d) AS DOUBLE) AS x FROM d WHERE d IS NOT NULL)\nSELECT " + _DIST + " FROM v")
+def sum_ad_difference(spark, sf_dir):
+    s = calls(spark, sf_dir).groupBy(*KEYS).agg(F.sum(F.col("ad0") + F.col("ad1")).alias("s"))
+    d = ordered.deltas(s, "s", ("chrom",), ("pos",)).join(s.groupBy("chrom").agg(F.min("pos").alias("first")), "chrom").filter("pos > first")
+    return format_stats.distribution(d, F.abs("delta"))
