@@ -1,12 +1,14 @@
-"""Toxicity by compression distance: windows compressed with two zstandard dictionaries."""
+"""Toxicity by compression distance: windows of coded words compressed with two zstandard dictionaries."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from hashlib import blake2b
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +17,15 @@ from .common import hashed_sample, small_batches, stored
 #: Words in a window.
 WINDOW = 8
 
+#: Bytes that stand for a word: a digest, so that only whole words match, never parts of longer or related ones.
+CODE = 12
+
+#: Words whose codes a worker keeps; results do not depend on it.
+CACHE = 200_000
+
+#: What separates words.
+_BETWEEN = r"[^\p{L}\p{M}\p{N}']+"
+
 #: Bytes of the dictionary of ordinary text.
 DICTIONARY = 12288
 
@@ -47,55 +58,49 @@ class Model:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * (saved - self.threshold)))))
 
 
-def windows(text: str | None) -> list[bytes]:
-    words = (text or "").lower().split()
-    return [" ".join((" ", *words[i : i + WINDOW], " ")).encode("utf-8", "replace") for i in range(0, len(words), WINDOW)]
+@lru_cache(CACHE)
+def _code(word: str) -> bytes:
+    return blake2b(word.encode("utf-8", "replace"), digest_size=CODE).digest()
+
+
+def _words(text: str) -> Column:
+    return F.array_remove(F.split(F.lower(text), _BETWEEN), "")
+
 
+def windows(words: list[str] | None) -> list[bytes]:
+    codes = [_code(w) for w in words or ()]
+    return [b"".join(codes[i : i + WINDOW]) for i in range(0, len(codes), WINDOW)]
 
-def saved_bytes(text: str | None, ordinary, toxic) -> int:
+
+def saved_bytes(words: list[str] | None, ordinary, toxic) -> int:
     """What the toxic dictionary saves over the ordinary one in the two windows where it saves most."""
     first = second = 0
-    for w in windows(text):
+    for w in windows(words):
         n = len(ordinary.compress(w)) - len(toxic.compress(w))
         if n > second:
             first, second = (n, first) if n > first else (first, n)
     return first + second
 
 
-def _likelihood(a: int, b: int, na: int, nb: int) -> float:
-    """Log-likelihood ratio of a word in a of na toxic and b of nb ordinary texts."""
-    def part(k: float, n: float, p: float) -> float:
-        return (k * math.log(p) if k else 0) + ((n - k) * math.log(1 - p) if n > k else 0)
+def _likelihood(na: int, nb: int) -> Column:
+    """Log-likelihood ratio of a word in ``a`` of na toxic and ``b`` of nb ordinary texts."""
+    def part(k: Column, n: int, p: Column) -> Column:
+        return F.when(k > 0, k * F.log(p)).otherwise(0.0) + F.when(k < n, (n - k) * F.log(1 - p)).otherwise(0.0)
 
+    a, b = F.col("a"), F.col("b")
     p = (a + b) / (na + nb)
     return 2 * (part(a, na, a / na) + part(b, nb, b / nb) - part(a, na, p) - part(b, nb, p))
 
 
-def _segments(texts: list[set[str]], ordinary: dict[str, int], n_ordinary: int, least: float) -> list[str]:
-    """Greedy cover of the toxic texts by words typical of them, until a word adds little."""
-    n, left, out = len(texts), [*texts], []
-    while left:
-        counts: dict[str, int] = {}
-        for t in left:
-            for w in t:
-                counts[w] = counts.get(w, 0) + 1
-        best = max(counts, key=lambda w: (counts[w] - n * ordinary.get(w, 0) / max(1, n_ordinary), w), default=None)
-        if best is None or counts[best] < max(3, least * n):
-            break
-        out.append(best)
-        left = [t for t in left if best not in t]
-    return out
-
-
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 4_000, snippets: int = 8_000, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Train both dictionaries and the threshold on a bounded sample of labelled rows.
 
     The bound: about ``sample`` rows of each label, chosen by a hash of the id, equal texts
     once. The ordinary dictionary is trained by the zstandard trainer on at most about
     ``snippets`` windows of ordinary texts. The toxic dictionary has the same content after
-    segments of toxic text: words whose document counts tell the labels apart (log-likelihood
-    ratio of 15 or more, and four times the ordinary rate), chosen for covering toxic texts
-    none of the earlier ones covers. As the ordinary content is common to both, ordinary
+    segments of toxic text: every word of three texts or more whose document counts tell the
+    labels apart (log-likelihood ratio of 15 or more, and four times the ordinary rate), however
+    small its share of the toxic texts. As the ordinary content is common to both, ordinary
     windows compress alike, and what toxic windows save is due to the segments. The
     threshold is the one with the best F1 on the sample. Without rows of both labels no
     window saves anything, and every text scores below one half.
@@ -113,33 +118,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 4_000, snippe
     n = {r[0]: r[1] for r in rows.groupBy("__y").count().collect()}
     if len(n) < 2:
         return Model(b"", b"", 1.0)
-    words = rows.select("__y", F.explode(F.array_distinct(F.split(F.lower("__t"), r"[^\p{L}\p{M}\p{N}']+"))).alias("w")).filter("length(w) > 2")
+    words = rows.select("__y", F.explode(F.array_distinct(_words("__t"))).alias("w")).filter("length(w) > 2")
     stats = words.groupBy("w").agg(F.sum("__y").alias("a"), F.sum(1 - F.col("__y")).alias("b"))
-    stats = stats.filter((F.col("a") >= 3) & (F.col("a") / n[1] >= 4 * F.col("b") / n[0])).orderBy(F.desc("a"), "w").limit(5_000)  # words tried: bounded, the most frequent
-    ordinary = {r.w: r.b for r in stats.collect() if _likelihood(r.a, r.b, n[1], n[0]) >= 15}
-    toxic = rows.filter("__y = 1").select(F.array_intersect(F.array_distinct(F.split(F.lower("__t"), r"[^\p{L}\p{M}\p{N}']+")), F.lit([*ordinary] or [""])).alias("w"))
-    cover = _segments([{*r.w} for r in toxic.collect()], ordinary, n[0], 0.05) if ordinary else []
-    # all typical words that nearly only toxic texts have, if a cover word is as rare in ordinary texts
-    chosen_words = sorted({*cover} | {r for r in _frequent(stats, n, ordinary)})
+    typical = stats.filter((F.col("a") >= 3) & (F.col("a") / n[1] >= 4 * F.col("b") / n[0]) & (_likelihood(n[1], n[0]) >= 15))
+    chosen_words = sorted(r.w for r in typical.select("w").collect())
     base = _ordinary_content(rows.filter("__y = 0"), snippets)
-    segments = b"".join(f" {w} ".encode() for w in chosen_words)
+    segments = b"".join(map(_code, chosen_words))
     draft = Model(base, segments + base, 1.0)
     found = [(r.saved, r.y) for r in _saved(rows.select(F.col("__y").alias("y"), "__t"), draft, "__t").collect()]
     return Model(base, segments + base, _best_threshold(found) - 0.5)
 
 
-def _frequent(stats: DataFrame, n: dict[int, int], ordinary: dict[str, int], least: float = 0.05) -> list[str]:
-    return [r.w for r in stats.filter((F.col("a") >= max(3, least * n[1])) & (F.col("b") * 20 * n[1] <= F.col("a") * n[0])).collect() if r.w in ordinary]
-
-
 def _ordinary_content(rows: DataFrame, snippets: int) -> bytes:
     """Content of a dictionary trained on windows of ordinary texts (about ``snippets`` of them)."""
     import zstandard as z
 
-    parts = F.transform(F.regexp_extract_all(F.lower("__t"), F.lit(r"(?:\S+\s*){1,%d}" % WINDOW), F.lit(0)), lambda w: F.regexp_replace(w, r"\s+", " "))
+    parts = F.regexp_extract_all(F.array_join(_words("__t"), " "), F.lit(r"(?:\S+\s*){1,%d}" % WINDOW), F.lit(0))
     all_ = rows.select(F.explode(parts).alias("w")).distinct()
     all_ = hashed_sample(all_, "w", all_.count(), snippets, seed=2).orderBy("w")
-    samples = [f" {r.w} ".encode() for r in all_.collect()]
+    samples = [b"".join(map(_code, r.w.split())) for r in all_.collect()]
     try:
         return z.train_dictionary(DICTIONARY, samples, k=200, d=8, level=3).as_bytes()[-DICTIONARY:]
     except z.ZstdError:  # too few windows to train on: they are the content themselves
@@ -165,7 +162,7 @@ def _saved(df: DataFrame, model: Model, text: str) -> DataFrame:
             out = [saved_bytes(t, ordinary, toxic) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in kept), pa.array(out, pa.int64())], names=[*(f.name for f in kept), "saved"])
 
-    return df.mapInArrow(run, T.StructType([*kept, T.StructField("saved", T.LongType())]))
+    return df.withColumn(text, _words(text)).mapInArrow(run, T.StructType([*kept, T.StructField("saved", T.LongType())]))
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -347,3 +347,24 @@ def test_toxicity(spark, docs, nothing):
     nobody = toxicity.fit_toxicity(nothing, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.predicted for r in toxicity.score_toxicity(docs, nobody).collect()} == {0}
     assert toxicity.score_toxicity(nothing, model).count() == 0
+
+
+def test_toxicity_of_rare_words(spark):
+    """Toxic words that each few toxic texts have are learned, and only whole words count."""
+    rng = random.Random(5)
+    vocab = [f"{a}{b}" for a in ("ster", "ving", "dohm", "kalt", "brun") for b in ("nach", "ling", "keit", "rund", "mose", "tave")]
+    rare = [f"achlich{x}" for x in ("keit", "ung", "ver", "tz", "pf", "en", "sch", "heit", "au", "be", "ge", "ie", "te", "st", "lich", "ber", "ein", "chen", "ter", "ner", "mal", "los", "bar", "sam", "voll")]
+    rows = []
+    for i in range(3000):
+        w = [rng.choice(vocab) for _ in range(rng.randrange(20, 120))]
+        if toxic := i % 3 == 0:
+            for word in rng.sample(rare, 1):
+                w.insert(rng.randrange(len(w)), word)
+        elif i % 3 == 1:
+            w.insert(rng.randrange(len(w)), "achlich" + rng.choice("xyzvwq") + rng.choice("aeiou"))
+        rows.append((i, " ".join(w), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit_toxicity(df, df.filter("doc_id % 2 = 0").select("doc_id", "toxic"))
+    held = toxicity.score_toxicity(df.filter("doc_id % 2 = 1"), model).collect()
+    assert sum(r.predicted for r in held if r.toxic) >= 0.95 * sum(r.toxic for r in held)
+    assert sum(r.predicted for r in held if not r.toxic) <= 0.02 * len(held)
