@@ -42,11 +42,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group stays, once; rows without an id all stay."""
-    found = jaccard.similar_documents(docs)
-    keep = found.filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """One row of each group of similar texts stays, whatever its id: the key is a digest of the text.
+
+    Equal texts are one; of each group the row with the least id stays (null ids last, ties by
+    the digest). Rows without words are groups of their own and all stay.
+    """
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
+    keyed = docs.filter(worded).withColumn("__key", F.sha2("text", 256))
+    # aggregated in part before the exchange, so that a text that many rows have is no load
+    firsts = stored(keyed.groupBy("__key").agg(F.min_by(F.struct(*docs.columns), order).alias("__row")), "distinct-texts")
+    found = jaccard.similar_documents(firsts.select(F.col("__key").alias("doc_id"), "__row.text"))
+    classes = found.select(F.col("doc_id").alias("__key"), "class_id").join(firsts.select("__key", "__row.doc_id"), "__key")
+    keep = classes.groupBy("class_id").agg(F.min_by("__key", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__key"))).alias("__key"))
+    kept = firsts.join(keep, "__key", "left_semi").select("__row.*")
+    return kept.unionByName(docs.filter(~worded)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,18 @@ def test_stages_keep_columns_and_clean_rows(spark, sf_dir, tmp_path):
     assert [n for n, _ in cp.STAGES] == ["quality rules", "language id", "n-gram jaccard join", "mixing", "bpe"]
 
 
+def test_jaccard_keeps_one_row_a_class(spark, sf_dir):
+    """Repeated and null ids: no class is lost, and none stays twice."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(100)) for x in "abcd")
+    near = lambda t: t.replace("50", "x50")
+    rows = [(1, a), (1, b), (1, c), (2, near(a)), (3, b), (None, near(c)), (None, d), (None, d), (None, near(d)), (7, " "), (7, " ")]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, kept string")
+    out = cp.jaccard_join(spark, docs, sf_dir).collect()
+    groups = sorted(r.text[0] for r in out)
+    assert groups == [" ", " ", "a", "b", "c", "d"]
+    assert {r.text[0]: r.doc_id for r in out if r.text[0] in "abc"} == {"a": 1, "b": 1, "c": 1}
+
+
 def test_stages_take_empty_tables(spark, sf_dir):
     none = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
