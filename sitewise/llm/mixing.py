@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -72,8 +73,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, sample: int
     """Classifier of ``domain`` (an expression over ``labels``) from a bounded labelled sample.
 
     The bound: about ``sample`` labelled rows, chosen by a hash of the id, and the ``most``
-    features that tell the domains apart best (largest log-likelihood ratio; words only if
-    three times as frequent in some domain as in all). Rows without
+    features that tell the domains apart best (largest log-likelihood ratio). Rows without
     a domain teach nothing. Counts are smoothed by one half.
     """
     labels = labels.select(doc_id, domain.cast("string").alias("__y")).filter(F.col("__y").isNotNull() & F.col(doc_id).isNotNull())
@@ -89,8 +89,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, sample: int
     total = sum((F.col(f"c{i}") for i in range(len(domains))), F.lit(0))
     gain = sum((F.when(F.col(f"c{i}") > 0, F.col(f"c{i}") * F.log(F.col(f"c{i}") * n / (F.col("c") * sizes[d]))).otherwise(0.0) for i, d in enumerate(domains)), F.lit(0.0))
     counts = counts.withColumn("c", total).filter("c >= 5").withColumn("gain", gain)
-    lift = F.greatest(*(F.col(f"c{i}") * n / (F.col("c") * sizes[d]) for i, d in enumerate(domains)), F.lit(0.0))
-    best = counts.filter(((F.col("gain") > 15) & (lift >= 3)) | F.col("f").startswith("#")).orderBy(F.desc(F.col("f").startswith("#")), F.desc("gain"), "f").limit(most)
+    best = counts.filter((F.col("gain") > 8) | F.col("f").startswith("#")).orderBy(F.desc(F.col("f").startswith("#")), F.desc("gain"), "f").limit(most)
     odds = {r.f: [math.log((r[f"c{i}"] + 0.5) / (sizes[d] + 1.0)) - math.log((r.c + 0.5) / (n + 1.0)) for i, d in enumerate(domains)] for r in best.collect()}
     return Classifier(domains, [math.log(sizes[d] / n) for d in domains], odds)
 
@@ -105,17 +104,20 @@ def _rate(steps: list[list[float]], p: list[Column]) -> Column:
 
 @dataclass
 class Mix:
-    """Fitted steps; ``rate`` turns posteriors into a document rate. ``expected`` are token totals."""
+    """Fitted steps; ``rate`` turns posteriors into a document rate. ``expected`` are the token
+    totals these rates give, to hold against ``targets``; ``met`` says whether all are within
+    the tolerance."""
 
     steps: list[list[float]]
     targets: list[float]
     expected: list[float]
+    met: bool = True
 
     def rate(self, posterior: str) -> Column:
         return _rate(self.steps, [F.get(posterior, F.lit(i)) for i in range(len(self.targets))])
 
 
-def fit_rates(scored: DataFrame, targets: list[float], rounds: int = 16, tolerance: float = 1e-3) -> Mix:
+def fit_rates(scored: DataFrame, targets: list[float], rounds: int = 40, tolerance: float = 1e-4) -> Mix:
     """Nonnegative rates whose expected domain token totals match ``targets``.
 
     ``scored`` has ``n_tokens`` and ``posterior``. Minimises the sum over domains of
@@ -127,7 +129,9 @@ def fit_rates(scored: DataFrame, targets: list[float], rounds: int = 16, toleran
     posteriors and of the domain errors of the rounds so far: each round is one distributed
     sum of as many numbers as there are domains, no state is kept by document and nothing
     is joined. Ends when all errors are below ``tolerance`` of the total target, or after
-    ``rounds``. A domain without mass, whose target cannot be reached, is left out.
+    ``rounds``; then the best rates so far are returned with ``met`` false and a warning of
+    expected against target totals. A domain without mass is left out of the steps, and its
+    target, if there is any, counts as not met.
     """
     k = len(targets)
     base = scored.select(F.col("n_tokens").cast("double").alias("n"), *(F.get("posterior", F.lit(i)).alias(f"p{i}") for i in range(k)))
@@ -158,7 +162,11 @@ def fit_rates(scored: DataFrame, targets: list[float], rounds: int = 16, toleran
         steps.append([use * x for x in d])
         got = totals(steps)
     steps = steps[: best[1]]
-    return Mix(steps, targets, totals(steps))
+    expected = totals(steps)
+    met = all(abs(g - t) <= limit for g, t in zip(expected, targets))
+    if not met:
+        warnings.warn(f"targets not met after {rounds} rounds at most: expected tokens {expected}, targets {targets}", stacklevel=2)
+    return Mix(steps, targets, expected, met)
 
 
 def score_domains(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:

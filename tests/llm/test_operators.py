@@ -294,6 +294,16 @@ def test_rates_meet_targets(spark):
     assert mixing.fit_rates(df.limit(0), [0.0, 0.0]).steps == []
 
 
+def test_unreachable_targets_are_told(spark):
+    """Every row is half of each domain, so that 0.9 to 0.1 cannot be had."""
+    df = spark.createDataFrame([(i, 10, [0.5, 0.5]) for i in range(20)], "doc_id long, n_tokens long, posterior array<double>")
+    with pytest.warns(UserWarning, match="targets not met"):
+        mix = mixing.fit_rates(df, [180.0, 20.0], rounds=2)
+    assert not mix.met and mix.targets == [180.0, 20.0] and sum(mix.expected) == pytest.approx(200)
+    assert mixing.fit_rates(df, [120.0, 120.0], rounds=2).met
+    assert queries.WEIGHTS == {"quality=1 toxic=0": 0.90, "quality=0 toxic=0": 0.07, "quality=1 toxic=1": 0.02, "quality=0 toxic=1": 0.01}
+
+
 def test_domains(spark, docs, nothing):
     labels = spark.createDataFrame([(i, i % 2, None if i == 3 else 0) for i in range(14)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
     model, mix, scored = mixing.mix_rates(docs, labels, queries.label_domain(), queries.WEIGHTS)
