@@ -16,7 +16,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import sliced
 
 # Fixed values of the format: kbit/s by (MPEG-1, layer) and index, Hz by version bits and index.
 BITRATES = {
@@ -217,13 +217,12 @@ def text_to_audio(df: DataFrame, text: str = "text", media: str = "media") -> Da
     The bytes are padded with zeros to a positive multiple of 64; a null text counts as
     empty. Equal texts give equal streams. A column of ``df`` named like ``media`` is replaced.
     """
-    small_batches(df.sparkSession)
     df = df.drop(media)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in sliced(batches, text):
             raw = [(x or "").encode() for x in b.column(b.schema.get_field_index(text)).to_pylist()]
             made = pa.array([pack(pad64(x), str(len(x))) for x in raw], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, media])
@@ -244,7 +243,6 @@ def read_audio(df: DataFrame, media: str = "media", info: str = "info") -> DataF
     microseconds; ``offsets`` are the byte offsets of all audio frames. Null media give a
     null struct; bytes without a frame give zero counts, with all bytes skipped.
     """
-    small_batches(df.sparkSession)
     kept = [f for f in df.schema.fields if f.name not in (media, info)]
     kind = T.StructType.fromDDL(INFO)
 
@@ -253,7 +251,7 @@ def read_audio(df: DataFrame, media: str = "media", info: str = "info") -> DataF
         from pyspark.sql.pandas.types import to_arrow_type
 
         arrow = to_arrow_type(kind)
-        for b in batches:
+        for b in sliced(batches, media):
             rows = []
             for raw in b.column(b.schema.get_field_index(media)).to_pylist():
                 if raw is None:

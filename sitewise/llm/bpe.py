@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import sliced
 
 #: The pattern that splits text before byte-level merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -163,7 +163,6 @@ def bpe_round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "i
     memory is bounded and results do not depend on the cache. Columns of ``docs`` named
     like ``ids`` or ``decoded`` are replaced; repeated rows give repeated results.
     """
-    small_batches(docs.sparkSession)
     docs = docs.drop(ids, decoded)
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False)), T.StructField(decoded, T.StringType())])
 
@@ -172,7 +171,7 @@ def bpe_round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "i
         import pyarrow as pa
 
         bpe = load(path)
-        for b in batches:
+        for b in sliced(batches, text):
             extra: dict[str, bytes] = {}
             coded = [bpe.encode_bytes(x or "", extra) for x in b.column(b.schema.get_field_index(text)).to_pylist()]
             values = np.frombuffer(b"".join(coded), "<i4")

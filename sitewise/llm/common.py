@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
-#: Rows of one Arrow batch handed to Python. Long texts make wide rows, so a
-#: batch is kept far below Spark's default of 10 000 rows.
-ARROW_ROWS = 256
+#: Rows and bytes of texts that a worker takes from an Arrow batch at a time. Spark bounds the
+#: batch itself by bytes; what Python makes of a batch takes several times its size.
+ROWS, BYTES = 256, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is missing (unit tests on one machine) a temporary
-    folder of this process stands in.
+    Only where that setting is missing and driver and executors are one process (unit
+    tests) a temporary folder of this process stands in; on a cluster this raises.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if "dir" not in _LOCAL:
             _LOCAL["dir"] = tempfile.mkdtemp(prefix="sitewise-")
         where = f"file://{_LOCAL['dir']}"
@@ -47,9 +50,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Lower the rows of an Arrow batch, so that long texts fit a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(batches: Iterator, text: str | int, rows: int = ROWS, size: int = BYTES) -> Iterator:
+    """Views of Arrow batches with at most ``rows`` rows and about ``size`` bytes in column
+    ``text``; a longer text is a view of its own."""
+    import pyarrow.compute as pc
+
+    for b in batches:
+        lengths = pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(text) if isinstance(text, str) else text)), 0).to_pylist()
+        first = held = 0
+        for i, n in enumerate(lengths):
+            if i > first and (held + n > size or i - first >= rows):
+                yield b.slice(first, i - first)
+                first, held = i, 0
+            held += n
+        if first < b.num_rows:
+            yield b.slice(first)
 
 
 def fold(doc_id: str | Column, folds: int) -> Column:

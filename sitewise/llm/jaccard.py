@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, stored
+from .common import sliced, stored
 
 #: Words in a shingle, and the least similarity of a link.
 WORDS, LEAST = 5, 0.8
@@ -135,7 +135,7 @@ def _sketch(docs: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
+        for b in sliced(batches, "__t"):
             texts = [(t or "").encode() for t in b.column(b.schema.get_field_index("__t")).to_pylist()]
             node = [hashlib.sha256(t).digest()[:16] for t in texts]
             bands: list = [None] * len(texts)
@@ -350,7 +350,6 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     link to nothing and are classes of their own, row by row. Null ids sort first. Repeated
     rows are copies of each other. An empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t"))
     sketch = stored(_sketch(rows), "sketch")
     worded = sketch.filter("__bands is not null")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import sliced
 
 #: Hashed places of a vector.
 PLACES = 1 << 12
@@ -144,10 +144,9 @@ def fit_centroids(docs: DataFrame, text: str = "text", lang: str = "lang", key:
     """
     import numpy as np
 
-    small_batches(docs.sparkSession)
     rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
-    each = min(sample, most // max(1, len(counts)))
+    each = min(sample, max(1, most // max(1, len(counts))))
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, each / n)))]) if counts else None
     if share is None:
         return Centroids([], None, None, None)
@@ -156,7 +155,7 @@ def fit_centroids(docs: DataFrame, text: str = "text", lang: str = "lang", key:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in sliced(batches, 1):
             v = np.minimum(count_vectors(b.column(1).to_pylist()), 65_000).astype("<u2")
             yield pa.RecordBatch.from_pydict({"lang": b.column(0), "v": pa.array([x.tobytes() for x in v], pa.binary())})
 
@@ -188,7 +187,6 @@ def identify(docs: DataFrame, model: Centroids, text: str = "text") -> DataFrame
     is set too if the nearest centroid is farther than the model's limit for it. Columns
     of ``docs`` with these names are replaced; repeated rows give repeated results.
     """
-    small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "rejected")
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
     # at most 8 000 / clusters languages of 16 KB a centroid; 64 KB a language as it stands
@@ -197,9 +195,7 @@ def identify(docs: DataFrame, model: Centroids, text: str = "text") -> DataFrame
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in sliced(batches, text):
             out = shared.value.predict(b.column(b.schema.get_field_index(text)).to_pylist())
             columns = [pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=[*b.schema.names, *(f.name for f in added)])

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import sliced, stored
 
 #: Sequences in a record batch.
 BATCH = 64
@@ -185,7 +185,6 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     and yields the end id alone; null ids come first; rows with equal ids keep any order. An
     empty table gives an empty manifest. Memory: one batch of texts and one of sequences.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
 
@@ -194,9 +193,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         from pyspark import TaskContext
 
         task, out = TaskContext.get(), None
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in sliced(batches, 1):
             enc = load(tokenizer)
             if out is None:
                 path = f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.arrow"

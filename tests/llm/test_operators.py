@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,6 +305,69 @@ def test_unreachable_targets_are_told(spark):
     assert queries.WEIGHTS == {"quality=1 toxic=0": 0.90, "quality=0 toxic=0": 0.07, "quality=1 toxic=1": 0.02, "quality=0 toxic=1": 0.01}
 
 
+def nearest_rates(p, n, t):
+    """The rates >= 0 nearest to 1 (by tokens) with totals t, by a general solver's slow road: its dual, by gradients."""
+    slope, mass = np.zeros(len(t)), (p * n[:, None]).sum(0)
+    for _ in range(60_000):
+        slope += ((np.maximum(0, 1 - p @ slope) * n) @ p - t) / mass
+    return np.maximum(0, 1 - p @ slope)
+
+
+def test_rates_of_four_domains_match_a_plain_solver(spark):
+    rng = np.random.default_rng(8)
+    p = rng.dirichlet((0.3, 0.3, 0.3, 0.3), 400)
+    n = rng.integers(0, 200, 400)
+    share = np.array([0.62, 0.2, 0.15, 0.03])  # far from what there is: some rates are 0
+    df = spark.createDataFrame([(i, int(n[i]), p[i].tolist()) for i in range(400)], "doc_id long, n_tokens long, posterior array<double>")
+    mix = mixing.fit_rates(df, (share * n.sum()).tolist())
+    want = nearest_rates(p, n.astype(float), share * n.sum())
+    got = np.array([r.rate for r in df.withColumn("rate", mix.rate("posterior")).orderBy("doc_id").collect()])
+    assert mix.met and (want == 0).any() and np.abs(got - want).max() < 1e-4
+    assert (got * n) @ p == pytest.approx(share * n.sum(), rel=1e-5)
+
+
+def test_out_of_reach_is_approached(spark):
+    """No mix of these rows has more than 0.8 of the first domain: the fit ends near the best there is."""
+    rows = [(i, 10, [0.8, 0.2] if i % 2 else [0.3, 0.7]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens long, posterior array<double>")
+    with pytest.warns(UserWarning, match="targets not met"):
+        mix = mixing.fit_rates(df, [380.0, 20.0])
+    rates = {tuple(r.posterior): r.rate for r in df.withColumn("rate", mix.rate("posterior")).collect()}
+    # least squares over the mass of the domains (220 and 180): all from the first kind of row
+    best = (0.8 * 380 / 220 + 0.2 * 20 / 180) / (0.8**2 / 220 + 0.2**2 / 180) / 200
+    assert rates[0.3, 0.7] == pytest.approx(0, abs=1e-4) and rates[0.8, 0.2] == pytest.approx(best, rel=1e-3)
+
+
+def test_posteriors_match_brute_force(spark, docs):
+    model = mixing.Classifier(["a", "b", "c"], [0.5, -0.25, 0.0], {"1:idiot": [2.0, -1.0, 0.5], "2:w": [0.0, 0.0, 1.0], "2:the": [-1.0, 0.25, 3.0], "#length:0": [0.5, 0.0, -0.5], "#length:2": [0.25, 1.0, -2.0], "#upper:0": [0.0, -3.0, 0.0]})
+    rows = mixing.score_domains(docs, model).select("doc_id", "n_tokens", "posterior").collect()
+    by = {(r.doc_id, r.n_tokens): r.posterior for r in rows}
+    for i, t in texts(docs):
+        words = [x for x in re.split("[\x20\x09-\x0d]+", t or "") if x]
+        starts = Counter(x[:5] for x in re.split(r"[^\w]+|_", (t or "").lower()) if x)
+        have = {f"1:{x}" for x in starts} | {f"2:{x}" for x, n in starts.items() if n > 1}
+        have |= {f"#length:{sum(np.log10(max(len(words), 1)) >= b for b in mixing.BINS['length'][1])}", f"#upper:{sum(sum(map(str.isupper, t or '')) / max(len(''.join(words)), 1) >= b for b in mixing.BINS['upper'][1])}"}
+        z = np.array(model.constant) + sum((np.array(w) for f, w in model.weights.items() if f in have), np.zeros(3))
+        assert by[i, len(words)] == pytest.approx((np.exp(z) / np.exp(z).sum()).tolist()), t
+
+
+def test_regression_is_calibrated():
+    rng = np.random.default_rng(9)
+    x = rng.random((3000, 6)) < 0.3
+    y = (x[:, 0].astype(int) + 2 * (rng.random(3000) < 0.2 + 0.6 * x[:, 1])).astype(int)
+    w = mixing.regression([(int(d), np.flatnonzero(r).tolist()) for d, r in zip(y, x)], 4, 6)
+    z = np.column_stack([x, np.ones(3000)]) @ w.T
+    p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    assert p.sum(0) == pytest.approx(np.bincount(y, minlength=4), rel=1e-3)
+    assert p[x[:, 1] & x[:, 0]].mean(0)[3] == pytest.approx(0.8, abs=0.05)
+
+
+def test_copies_have_the_rate_as_mean(spark):
+    rows = spark.range(20_000).select("id", F.lit(1.3).alias("r")).select(mixing.copies(F.col("r"), "id").alias("n"))
+    found = {r.n: r["count"] for r in rows.groupBy("n").count().collect()}
+    assert set(found) == {1, 2} and found[2] / 20_000 == pytest.approx(0.3, abs=0.02)
+
+
 def test_domains(spark, docs, nothing):
     labels = spark.createDataFrame([(i, i % 2, None if i == 3 else 0) for i in range(14)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
     model, mix, scored = mixing.mix_rates(docs, labels, queries.label_domain(), queries.WEIGHTS)
@@ -378,3 +442,52 @@ def test_toxicity_of_rare_words(spark):
     held = toxicity.score_toxicity(df.filter("doc_id % 2 = 1"), model).collect()
     assert sum(r.predicted for r in held if r.toxic) >= 0.95 * sum(r.toxic for r in held)
     assert sum(r.predicted for r in held if not r.toxic) <= 0.02 * len(held)
+
+
+def test_windows_of_blocks_are_those_of_the_whole(monkeypatch):
+    text = " ".join(f"Wort{chr(97 + i % 26)}'s x_{i}\tü{i}" for i in range(400)) + "\u2028" + "y" * 500
+    whole = [*toxicity.windows(text)]
+    words = " ".join(whole).split()
+    assert words[:4] == ["WORTA's", "X", "0", "Ü0"] and len(whole) == -(-len(words) // toxicity.WINDOW)
+    monkeypatch.setattr(toxicity, "BLOCK", 37)
+    assert [*toxicity.windows(text)] == whole
+    assert [*toxicity.windows(None)] == [*toxicity.windows("")] == [*toxicity.windows(" _-. ")] == []
+
+
+def test_savings_match_a_plain_compressor():
+    import zstandard as z
+
+    model = toxicity.Model(b" SOME COMMON WORDs of the PLAIN kind", b" HORRId VERMIn NASTY", (0.0, 0.0, 0.0, 0.0))
+    text = "plain horrid words " * 9 + "nasty vermin some common words " * 5
+    p = z.ZstdCompressionParameters(strategy=z.STRATEGY_LAZY2, min_match=6, window_log=16, hash_log=14, chain_log=14, search_log=6, target_length=32, write_content_size=False, write_checksum=False, write_dict_id=False)
+    saved = []
+    for w in toxicity.windows(text):
+        sizes = []
+        for middle in (b"\xff" * len(model.toxic), model.toxic):
+            d = z.ZstdCompressionDict(model.ordinary + middle + toxicity.LEAD, dict_type=z.DICT_TYPE_RAWCONTENT)
+            frame = z.ZstdCompressor(compression_params=p, dict_data=d).compress(toxicity.LEAD + w.encode() + toxicity.TAIL)
+            assert z.ZstdDecompressor(dict_data=d).decompress(frame, max_output_size=10_000) == toxicity.LEAD + w.encode() + toxicity.TAIL
+            sizes.append(len(frame))
+        saved.append(sizes[0] - sizes[1])
+    top = sorted((s for s in saved if s > 0), reverse=True)
+    assert sum(top) > 0 and toxicity.saved_bytes(text, *model.compressors()) == (sum(top[:3]), sum(top), len(saved))
+    assert toxicity.saved_bytes(None, *model.compressors()) == (0, 0, 0)
+
+
+def test_rest_is_what_telling_substrings_cover():
+    rng = random.Random(11)
+    for _ in range(300):
+        word = f" {''.join(rng.choice('ABab') for _ in range(rng.randrange(1, 12)))} "
+        telling = frozenset("".join(rng.choice("ABab ") for _ in range(5)) for _ in range(60))
+        on = {k for i in range(len(word) - 4) if word[i : i + 5] in telling for k in range(i, i + 5)}
+        assert toxicity.rest(word, telling) == "".join(c for k, c in enumerate(word) if k in on)
+    assert toxicity.parts("an idiotic") == {" IDIO", "IDIOT", "DIOTi", "IOTic", "OTic "}
+
+
+def test_threshold_has_the_best_f1():
+    rng = np.random.default_rng(12)
+    for _ in range(50):
+        z, y = rng.integers(0, 8, 40) / 4.0, (rng.random(40) < 0.4).astype(float)
+        y[0] = 1
+        f1 = lambda t: 2 * y[z >= t].sum() / ((z >= t).sum() + y.sum())  # noqa: E731, B023
+        assert f1(toxicity._threshold(z, y)) == pytest.approx(max(f1(t) for t in z))
