@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.functions import genotype as g
 
-_RANGE = re.compile(r"([\w.#]+)(?::(-?\d+))?(?:,(-?\d+))?:?,?")
-_SPAN = re.compile(r"([\w.#]+):(\d+)[-,](\d+)")
+def _whole(text: str) -> int | None:
+    """A whole number, or None if the text is none."""
+    digits = text.removeprefix("-")
+    return int(text) if digits.isascii() and digits.isdigit() else None
 
 
 def parse_range(spec: str) -> tuple[str, int | None, int | None]:
-    """``chrom[:start[,end]]``, both ends inclusive; an end needs a start and must not precede it."""
-    m = _RANGE.fullmatch(spec)
-    if not m:
+    """``chrom[:start[,end]]``, both ends inclusive; an end needs a start and must not precede it.
+
+    What follows the last colon are positions if they are whole numbers, so that names may hold
+    colons and hyphens; a bare name with a hyphen or comma is taken for a slip, and needs a colon
+    at its end.
+    """
+    name, colon, tail = spec.rpartition(":")
+    ends = [_whole(x) for x in tail.split(",")] if tail else []
+    if colon and name and (not tail or (len(ends) < 3 and None not in ends)):
+        chrom, start, end = name, *(ends + [None, None])[:2]
+    elif spec and not set("-, ") & set(spec.rpartition(":")[2]):
+        chrom, start, end = spec, None, None
+    else:
         raise ValueError(f"not a range: {spec!r}")
-    chrom, start, end = m[1], m[2] and int(m[2]), m[3] and int(m[3])
-    if end is not None and start is None:
-        raise ValueError(f"an end without a start: {spec!r}")
     if end is not None and end < start:
         raise ValueError(f"the end precedes the start: {spec!r}")
     return chrom, start, end
@@ -35,19 +42,28 @@ def range_filter(df: DataFrame, spec: str, chrom: str = "chrom", pos: str = "pos
 
 
 def require_chrom(df: DataFrame, spec: str, chrom: str = "chrom") -> None:
-    """Raise if no row has the chromosome of the range."""
-    name = parse_range(spec)[0]
+    """Raise if no row has the chromosome of the range (or span)."""
+    try:
+        name = parse_span(spec)[0]
+    except ValueError:
+        name = parse_range(spec)[0]
     if df.filter(F.col(chrom) == name).isEmpty():
         raise ValueError(f"unknown chromosome: {name}")
 
 
 def block_range_filter(df: DataFrame, spec: str, chrom: str = "chrom", pos: str = "pos") -> DataFrame:
     """``chrom:start-end`` on single-sample records: reversed ends are swapped; only POS counts."""
-    m = _SPAN.fullmatch(spec)
-    if not m:
+    name, a, b = parse_span(spec)
+    return df.filter((F.col(chrom) == name) & F.col(pos).between(a, b))
+
+
+def parse_span(spec: str) -> tuple[str, int, int]:
+    """``chrom:start-end`` (or with a comma); the ends are put in order."""
+    name, _, tail = spec.rpartition(":")
+    ends = [_whole(x) for x in tail.replace("-", ",").split(",")]
+    if not name or len(ends) != 2 or None in ends:
         raise ValueError(f"not a range: {spec!r}")
-    a, b = sorted((int(m[2]), int(m[3])))
-    return df.filter((F.col(chrom) == m[1]) & F.col(pos).between(a, b))
+    return name, *sorted(ends)
 
 
 def id_filter(df: DataFrame, spec: str, id: str = "id") -> DataFrame:

@@ -41,23 +41,26 @@ def header_block(variants: int, samples: int) -> bytes:
 
 
 def bgen_rows(sites: DataFrame, calls: DataFrame) -> DataFrame:
-    """(chrom, pos, bytes) of each biallelic site."""
-    dose = calls.select("chrom", "pos", "sample_idx", g.dosage(F.col("a1"), F.col("a2")).alias("d"))
-    dose = dose.groupBy("chrom", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", "d"))), lambda x: x["d"]).alias("codes"))
-    rows = sites.filter(g.biallelic(F.col("alt"))).join(dose, ["chrom", "pos"]).select("chrom", "pos", "id", "ref", "alt", "codes")
+    """(keys, bytes) of each biallelic site; keys are ``site_id`` if both have it, else chromosome and position."""
+    keys = ["site_id"] if "site_id" in sites.columns and "site_id" in calls.columns else ["chrom", "pos"]
+    dose = calls.select(*keys, "sample_idx", g.dosage(F.col("a1"), F.col("a2")).alias("d"))
+    dose = dose.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", "d"))), lambda x: x["d"]).alias("codes"))
+    fields = [F.col(c).alias(f"__{c}") for c in ("chrom", "pos", "id", "ref", "alt")]
+    rows = sites.filter(g.biallelic(F.col("alt"))).join(dose, keys).select(*keys, *fields, "codes")
+    n = len(keys)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            out = [variant_block(*r) for r in zip(*(c.to_pylist() for c in b.columns))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["chrom", "pos", "bytes"])
+            out = [variant_block(*r) for r in zip(*(c.to_pylist() for c in b.columns[n:]))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(out, pa.binary())], names=[*keys, "bytes"])
 
-    return rows.mapInArrow(run, T.StructType([sites.schema["chrom"], sites.schema["pos"], T.StructField("bytes", T.BinaryType())]))
+    return rows.mapInArrow(run, T.StructType([*(sites.schema[k] for k in keys), T.StructField("bytes", T.BinaryType())]))
 
 
 def write_bgen(sites: DataFrame, calls: DataFrame, path: str, samples: int) -> int:
     from .plink import write_packed
 
     rows = bgen_rows(sites, calls)
-    return write_packed(rows, path, header_block(rows.count(), samples), "chrom", "pos")
+    return write_packed(rows, path, header_block(rows.count(), samples), *rows.columns[:-1])

@@ -127,3 +127,58 @@ def test_counts_of_missing_alleles(spark):
     df = spark.createDataFrame([("c", 1, 0, -1, -1), ("c", 1, 1, 0, 2)], "chrom string, pos long, sample_idx int, a1 int, a2 int")
     assert counts.allele_counts(df, ("chrom", "pos")).first()[2:4] == (3, 4)
     assert counts.allele_counts(df, ("chrom", "pos"), compat=False).first()[2:4] == (1, 2)
+
+
+@pytest.mark.parametrize("spec, want", [("HLA-A*01:01:5,9", ("HLA-A*01:01", 5, 9)), ("c-2:5", ("c-2", 5, None)), ("c-2:", ("c-2", None, None)), ("HLA:a", ("HLA:a", None, None)), ("c1:-3", ("c1", -3, None))])
+def test_ranges_of_odd_names(spec, want):
+    assert filters.parse_range(spec) == want
+
+
+def test_spans():
+    assert filters.parse_span("HLA-A:9-5") == ("HLA-A", 5, 9)
+    with pytest.raises(ValueError):
+        filters.parse_span("c1:5")
+
+
+def test_many_files_keep_their_order(spark, tmp_path):
+    paths = []
+    for i in range(64):
+        paths.append(str(tmp_path / f"{(i * 37) % 64}.vcf"))
+        with open(paths[-1], "w") as f:
+            f.write("\n".join([HEADER, *(f"c1\t{p}\tf{i}\tA\tG\t.\t.\tNS=1;NS=2\tGT\t0/1\t0/0" for p in (2, 1))]) + "\n")
+    lines = vcf.read_lines(spark, paths)
+    rows = vcf.sites(lines).orderBy("site_id").collect()
+    assert [(r.id, r.pos) for r in rows] == [(f"f{i}", p) for i in range(64) for p in (2, 1)]
+    assert rows[0].info == {"NS": "1"} and rows[0].info_text == "NS=1;NS=2"
+    assert lines._jdf.queryExecution().executedPlan().toString().count("Scan text") == 1
+    with pytest.raises(ValueError):
+        vcf.read_lines(spark, [paths[0], paths[0]])
+
+
+def test_bcf_fields_come_back_typed(spark, tmp_path):
+    head = HEADER.replace("##contig=<ID=c1>", '##INFO=<ID=AF,Number=A,Type=Float,Description="x">\n##INFO=<ID=SB,Number=.,Type=Integer,Description="x">\n##FORMAT=<ID=GL,Number=G,Type=Float,Description="x">\n##FORMAT=<ID=FT,Number=1,Type=String,Description="x">\n##contig=<ID=c1>')
+    records = [
+        "c1\t10\tr1\tA\tG\t29.7\tPASS\tNS=2;DB;AF=0.25;SB=1,70000,-3\tGT:AD:DP:GL:FT\t0|1:3,4:7:-0.5,-1.25,0:ok\t./.:.:.:.:.",
+        "c1\t11\t.\tA\tC,T\t.\t.\tAF=0.5,1e-06\tGT:AD\t1|2:1,2,300\t0:5",
+    ]
+    (tmp_path / "a.vcf").write_text("\n".join([head, *records]) + "\n")
+    lines = vcf.read_lines(spark, [str(tmp_path / "a.vcf")])
+    sites = vcf.sites(lines)
+    text = vcf.record_lines(sites, vcf.calls(sites, ["s1", "s2"]), gt_only=False)
+    assert bcf.write_bcf(text, head, str(tmp_path / "o.bcf")) == 2
+    got = [r.line for r in bcf.read_lines(spark, [str(tmp_path / "o.bcf")]).orderBy("offset").collect()]
+    assert got == head.split("\n") + records
+    types = bcf.field_types(head)
+    body = bcf.record_bytes(records[0], {s: i for i, s in enumerate(bcf.dictionaries(head)[0])}, {"c1": 0}, types)
+    assert struct.pack("<B3i", 3 << 4 | 3, 1, 70000, -3) in body and struct.pack("<Bf", 1 << 4 | 5, 0.25) in body
+
+
+def test_blocks(tmp_path):
+    import random
+
+    from sitewise.sources import ordered_file
+
+    raw = random.Random(1).randbytes(300_000)
+    packed = ordered_file.blocks(raw) + ordered_file.block(b"")
+    assert gzip.decompress(packed) == raw
+    assert b"".join(ordered_file.unblocked(packed[i : i + 1000] for i in range(0, len(packed), 1000))) == raw
