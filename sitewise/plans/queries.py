@@ -163,7 +163,7 @@ def ref_only_sites(spark, sf_dir):
     return counts.ref_only(calls(spark, sf_dir), KEYS)
 
 
-@query(DUCK_CALLS + ", r AS (SELECT chrom, pos, string_agg(CAST(sample_idx % 2 AS VARCHAR) || ':' || CAST(a1 AS VARCHAR) || ':' || CAST(a2 AS VARCHAR), ',' ORDER BY sample_idx) AS row FROM calls WHERE sample_idx % 16 = 1 GROUP BY 1, 2), m AS (SELECT row, MIN(pos) AS copy_of FROM r GROUP BY 1)\nSELECT chrom, pos, copy_of FROM r JOIN m USING (row) WHERE pos > copy_of")
+@query(DUCK_CALLS + ", r AS (SELECT chrom, pos, string_agg(CAST(sample_idx AS VARCHAR) || ':' || CAST(a1 AS VARCHAR) || ':' || CAST(a2 AS VARCHAR), ',' ORDER BY sample_idx) AS row FROM calls GROUP BY 1, 2), m AS (SELECT row, MIN(pos) AS copy_of FROM r GROUP BY 1)\nSELECT chrom, pos, copy_of FROM r JOIN m USING (row) WHERE pos > copy_of")
 def dup_rows(spark, sf_dir):
     rows = counts.genotype_rows(calls(spark, sf_dir), KEYS)
     return counts.duplicate_rows(rows).select("chrom", "pos", "copy_of")
