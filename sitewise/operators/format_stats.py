@@ -45,13 +45,21 @@ def gt_pl_consistency(df: DataFrame, pl: str = "pl") -> DataFrame:
     return cells.groupBy("gt_class", bucket.alias("other_bucket")).agg(F.count("*").alias("n"), _count(own == 0).alias("own_zero"), _count(own == F.array_min(pl)).alias("own_min"))
 
 
-def distribution(df: DataFrame, value: Column) -> DataFrame:
-    """One row: rows, min, max, mean, median, population deviation, shares of 0 and of values below 5."""
-    x = df.select(value.cast("double").alias("x"))
-    return x.agg(
-        F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("largest"), F.round(F.avg("x"), 6).alias("mean"), F.median("x").alias("median"),
-        F.round(F.stddev_pop("x"), 6).alias("std"), _rate(F.col("x") == 0).alias("zero_rate"), _rate(F.col("x") < 5).alias("below5_rate"),
+def distribution(df: DataFrame, value: Column, below: Column | None = None) -> DataFrame:
+    """One row: rows, min, max, mean, median, population deviation, shares of 0 and of values (or of
+    ``below``, over x) under 5.
+
+    Values are counted first, so that the exact median is taken over distinct values, not over rows.
+    """
+    x, c = F.col("x"), F.col("c")
+    counts = df.select(value.cast("double").alias("x")).groupBy("x").agg(F.count("*").alias("c"))
+    one = counts.agg(
+        F.sum(c).alias("n"), F.min(x).alias("least"), F.max(x).alias("largest"), F.sum(x * c).alias("s"), F.sum(x * x * c).alias("q"), F.percentile(x, 0.5, c).alias("median"),
+        F.sum(F.when(x == 0, c).otherwise(0)).alias("z"), F.sum(F.when((x if below is None else below) < 5, c).otherwise(0)).alias("b"),
     )
+    mean = F.col("s") / F.col("n")
+    std = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean))
+    return one.select("n", "least", "largest", F.round(mean, 6).alias("mean"), "median", F.round(std, 6).alias("std"), F.round(F.col("z") / F.col("n"), 6).alias("zero_rate"), F.round(F.col("b") / F.col("n"), 6).alias("below5_rate"))
 
 
 def top_patterns(df: DataFrame, pattern: Column, n: int = 10) -> DataFrame:
@@ -86,8 +94,11 @@ def agreement_rates(df: DataFrame, pl: str = "pl") -> DataFrame:
 
 def het_ratio(df: DataFrame, low: float = 0.3, high: float = 0.7) -> DataFrame:
     """Reference share of the depth among cells with both depths: how many look heterozygous."""
-    both = df.filter((F.col("ad0") > 0) & (F.col("ad1") > 0)).withColumn("r", F.col("ad0") / (F.col("ad0") + F.col("ad1")))
-    return both.agg(F.count("*").alias("n"), _count(F.col("r").between(low, high)).alias("het_like"), F.round(F.avg("r"), 6).alias("mean"), F.round(F.median("r"), 6).alias("median"))
+    both = df.filter((F.col("ad0") > 0) & (F.col("ad1") > 0)).groupBy((F.col("ad0") / (F.col("ad0") + F.col("ad1"))).alias("r")).agg(F.count("*").alias("c"))
+    return both.agg(
+        F.sum("c").alias("n"), F.sum(F.when(F.col("r").between(low, high), F.col("c")).otherwise(0)).alias("het_like"),
+        F.round(F.sum(F.col("r") * F.col("c")) / F.sum("c"), 6).alias("mean"), F.round(F.percentile("r", 0.5, F.col("c")), 6).alias("median"),
+    )
 
 
 def fallback_reasons(df: DataFrame, pl: str = "pl") -> DataFrame:
@@ -104,10 +115,36 @@ def best_ratio(df: DataFrame, ratios: Sequence[int], a: str = "pl1", b: str = "p
     return one.unpivot([], [str(r) for r in ratios], "ratio", "covered").withColumn("ratio", F.col("ratio").cast("int"))
 
 
-def codec_cost(df: DataFrame, fields: Sequence[str], order_delta: Column | None = None) -> DataFrame:
-    """Bytes of zigzag varints of each field."""
-    one = df.agg(*(F.sum(g.varint_len(g.zigzag(F.col(f)))).cast("bigint").alias(f) for f in fields))
-    return one.unpivot([], list(fields), "field", "bytes")
+def codec_cost(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Bytes of each field as zigzag varints, as plain varints, in fixed 1, 2 or 4 bytes, and as text; and the cheapest."""
+    fixed = lambda c: F.when(F.max(F.abs(c)) < 1 << 7, 1).when(F.max(F.abs(c)) < 1 << 15, 2).otherwise(4) * F.count(c)
+    kinds = {
+        "fixed": fixed, "text": lambda c: F.sum(F.length(c.cast("string")) + 1), "varint": lambda c: F.sum(g.varint_len(F.abs(c))),
+        "zigzag": lambda c: F.sum(g.varint_len(g.zigzag(c))),
+    }
+    one = df.agg(*(F.struct(*(make(F.col(f)).cast("bigint").alias(k) for k, make in kinds.items())).alias(f) for f in fields))
+    long = one.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("b")) for f in fields))).alias("x")).select("x.field", "x.b.*")
+    cheapest = F.array_min(F.array(*(F.struct(F.col(k).alias("b"), F.lit(k).alias("k")) for k in kinds)))["k"]
+    return long.withColumn("best", cheapest)
+
+
+def pl_codecs(cells: DataFrame, ratios: Sequence[int] = (10, 11, 12), a: str = "pl1", b: str = "pl2", sample: str = "sample_idx", order: Sequence[str] = ("chrom", "pos"), width: int | None = None) -> DataFrame:
+    """Bytes of the pairs (a, b) under each codec: as they are, with the residual of b to a fixed multiple
+    of the sample's a, to the best of the multiples (a byte says which), and with differences of both.
+
+    Cells whose first likelihood is not 0, or both others are 0, or b = 15 a, are left out."""
+    from .ordered import neighbour
+
+    x, y = F.col(a), F.col(b)
+    kept = cells.filter("pl0 = 0").filter(((x != 0) | (y != 0)) & ~((x > 0) & (y == 15 * x)))
+    df = neighbour(kept, (sample,), order, {"__a": x, "__b": y}, width=width)
+    size = lambda c: g.varint_len(g.zigzag(c))
+    step = size(x - F.coalesce("__a", F.lit(0)))
+    codecs = {"baseline": size(x) + size(y), **{f"ratio_{r}": step + size(y - r * x) for r in ratios}}
+    codecs["adaptive"] = step + 1 + F.least(*(size(y - r * x) for r in ratios))
+    codecs["joint_delta"] = step + size(y - F.coalesce("__b", F.lit(0)))
+    one = df.agg(*(F.sum(c).cast("bigint").alias(k) for k, c in codecs.items()))
+    return one.unpivot([], list(codecs), "codec", "bytes")
 
 
 def coverage(df: DataFrame, thresholds: Sequence[int] = (63, 127), a: str = "pl1", b: str = "pl2", ratios: Sequence[int] = (10, 11, 12, 15)) -> DataFrame:
@@ -124,20 +161,6 @@ def entropy(df: DataFrame, value: Column) -> DataFrame:
     return one.select("n", F.round(F.log2("n") - F.col("s") / F.col("n"), 6).alias("bits"))
 
 
-def fallback_costs(cells: DataFrame, a: str = "pl1", b: str = "pl2", valid: str = "pl0 = 0", ratio: int = 11, sample: str = "sample_idx", order: Sequence[str] = ("chrom", "pos")) -> DataFrame:
-    """Bytes to store the pairs (a, b) of valid cells as values, as differences to the sample's
-    cell before, and as a with the residual of b to ``ratio`` times a."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy(sample).orderBy(*order)
-    df = cells.filter(valid).withColumns({"__a": F.lag(a).over(w), "__b": F.lag(b).over(w)})
-    size = lambda x: g.varint_len(g.zigzag(x))
-    x, y = F.col(a), F.col(b)
-    before = lambda c: F.coalesce(F.col(c), F.lit(0))
-    total = lambda c: F.sum(c).cast("bigint")
-    return df.agg(F.count("*").alias("n"), total(size(x) + size(y)).alias("plain"), total(size(x - before("__a")) + size(y - before("__b"))).alias("delta"), total(size(x) + size(y - ratio * x)).alias("residual"))
-
-
 def sparse(df: DataFrame, *fields: str) -> DataFrame:
     """Rows in which some of the fields are present and not ``.``."""
     some = F.lit(False)

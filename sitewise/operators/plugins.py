@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sitewise.functions import genotype as g
 
+from .ordered import neighbour, run_blocks, running
+
 
 def variant_type(ref: Column, alt: Column) -> Column:
     """``ref``, ``other`` (symbolic), ``snp``, ``mnp`` or ``indel`` of one ALT."""
@@ -80,24 +81,24 @@ def shared_counts(calls: DataFrame, samples: Sequence[int], keys: Sequence[str],
     return carry.groupBy(*keys).agg(F.bit_or(bit).alias("mask")).groupBy("mask").agg(F.count("*").alias("n"))
 
 
-def without_overlaps(df: DataFrame, start: str = "pos", end: str = "end", by: str = "chrom") -> DataFrame:
+def without_overlaps(df: DataFrame, start: str = "pos", end: str = "end", by: str = "chrom", width: int | None = None) -> DataFrame:
     """Records that no earlier record of the chromosome reaches into, and that do not reach the next."""
-    w = W.partitionBy(by).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
-    return df.withColumns({"__r": reach, "__n": F.lead(start).over(w)}).filter((F.coalesce(F.col("__r"), F.lit(-1)) < F.col(start)) & (F.col("__n").isNull() | (F.col("__n") > F.col(end)))).drop("__r", "__n")
+    order = (start, end)
+    df = running(df, (by,), order, "__r", F.col(end), width, most=True, before=True)
+    df = neighbour(df, (by,), order, {"__n": F.col(start)}, 1, width)
+    return df.filter((F.coalesce(F.col("__r"), F.lit(-1)) < F.col(start)) & (F.col("__n").isNull() | (F.col("__n") > F.col(end)))).drop("__r", "__n")
 
 
-def reblock(df: DataFrame, band: Column, by: str = "chrom", pos: str = "pos", dp: str = "dp") -> DataFrame:
+def reblock(df: DataFrame, band: Column, by: str = "chrom", pos: str = "pos", dp: str = "dp", width: int | None = None) -> DataFrame:
     """Blocks of neighbouring records in the same band: first and last position, rows, least depth."""
-    w = W.partitionBy(by).orderBy(pos)
-    rows = df.withColumn("__b", band)
-    rows = rows.withColumn("__new", F.when(F.col("__b").eqNullSafe(F.lag("__b").over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)).withColumn("__k", F.sum("__new").over(w))
-    return rows.groupBy(by, "__k").agg(F.min(pos).alias("start"), F.max(pos).alias("end_pos"), F.first("__b").alias("band"), F.count("*").alias("n"), F.min(dp).alias("min_dp")).drop("__k")
+    rows = run_blocks(df, band, (by,), (pos,), width)
+    return rows.groupBy(by, "__run").agg(F.min(pos).alias("start"), F.max(pos).alias("end_pos"), F.first("__band").alias("band"), F.count("*").alias("n"), F.min(dp).alias("min_dp")).drop("__run")
 
 
-def scatter(df: DataFrame, rows: int, by: str = "chrom", pos: str = "pos") -> DataFrame:
+def scatter(df: DataFrame, rows: int, by: str = "chrom", pos: str = "pos", width: int | None = None) -> DataFrame:
     """Chunk number of each record: ``rows`` records of a chromosome in each."""
-    return df.withColumn("chunk", F.floor((F.row_number().over(W.partitionBy(by).orderBy(pos)) - 1) / rows).cast("bigint"))
+    df = running(df, (by,), (pos,), "__i", F.lit(1).cast("bigint"), width)
+    return df.withColumn("chunk", F.floor((F.col("__i") - 1) / rows).cast("bigint")).drop("__i")
 
 
 def pl_to_probabilities(pl: Column) -> Column:
@@ -133,12 +134,11 @@ def allele_balance(calls: DataFrame, sample: str = "sample_idx") -> DataFrame:
     return het.groupBy(sample).agg(F.count("*").alias("n"), F.round(F.avg(F.col("ad1") / (F.col("ad0") + F.col("ad1"))), 6).alias("alt_share"))
 
 
-def switch_points(calls: DataFrame, sample: str = "sample_idx", order: Sequence[str] = ("chrom", "pos")) -> DataFrame:
+def switch_points(calls: DataFrame, sample: str = "sample_idx", order: Sequence[str] = ("chrom", "pos"), width: int | None = None) -> DataFrame:
     """By sample, heterozygous cells whose phase differs from the heterozygous cell before."""
-    het = calls.filter("a1 >= 0 AND a2 >= 0 AND a1 <> a2")
-    side = (F.col("a1") > F.col("a2")).cast("int")
-    before = F.lag(side).over(W.partitionBy(sample).orderBy(*order))
-    return het.withColumn("__s", F.when(before.isNotNull(), (side != before).cast("bigint"))).groupBy(sample).agg(F.count("*").alias("het"), F.sum("__s").alias("switches"))
+    het = calls.filter("a1 >= 0 AND a2 >= 0 AND a1 <> a2").withColumn("__side", (F.col("a1") > F.col("a2")).cast("int"))
+    het = neighbour(het, (sample,), order, {"__b": F.col("__side")}, width=width)
+    return het.withColumn("__s", F.when(F.col("__b").isNotNull(), (F.col("__side") != F.col("__b")).cast("bigint"))).groupBy(sample).agg(F.count("*").alias("het"), F.sum("__s").alias("switches"))
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "Sequence", "Column", "DataFrame", "W", "F", "g")]
+__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "Sequence", "Column", "DataFrame", "F", "g", "neighbour", "run_blocks", "running")]

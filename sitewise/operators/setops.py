@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import neighbour
+
 
 def intersect(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     return a.join(b.select(*keys).distinct(), list(keys), "left_semi")
@@ -50,22 +51,86 @@ def overlap_join(points: DataFrame, intervals: DataFrame, width: int, chrom: str
     return dealt.join(binned, [chrom, "__bin"]).filter(F.col(pos).between(F.col(start), F.col(end))).drop("__bin")
 
 
-def near(df: DataFrame, gap: int, chrom: str = "chrom", pos: str = "pos") -> DataFrame:
+def overlap_intervals(a: DataFrame, b: DataFrame, width: int, chrom: str = "chrom", start: str = "start", end: str = "end") -> DataFrame:
+    """Pairs of intervals of two sets that share a position, both ends inclusive; columns of the second
+    set get the suffix ``_b``.
+
+    Both are dealt to bins of ``width`` positions, and a pair is found in the bin of its first shared
+    position alone, so that none comes twice.
+    """
+    bins = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width)))
+    right = b.select(*(F.col(c).alias(c if c == chrom else f"{c}_b") for c in b.columns))
+    left, right = a.withColumn("__bin", bins(start, end)), right.withColumn("__bin", bins(f"{start}_b", f"{end}_b"))
+    meet = (F.col(start) <= F.col(f"{end}_b")) & (F.col(f"{start}_b") <= F.col(end))
+    first = F.floor(F.greatest(F.col(start), F.col(f"{start}_b")) / width) == F.col("__bin")
+    return left.join(right, [chrom, "__bin"]).filter(meet & first).drop("__bin")
+
+
+def near(df: DataFrame, gap: int, chrom: str = "chrom", pos: str = "pos", width: int | None = None) -> DataFrame:
     """Rows with a neighbour closer than ``gap`` positions."""
-    w = W.partitionBy(chrom).orderBy(pos)
-    return df.withColumns({"__a": F.lag(pos).over(w), "__b": F.lead(pos).over(w)}).filter((F.col(pos) - F.col("__a") < gap) | (F.col("__b") - F.col(pos) < gap)).drop("__a", "__b")
+    df = neighbour(neighbour(df, (chrom,), (pos,), {"__a": F.col(pos)}, -1, width), (chrom,), (pos,), {"__b": F.col(pos)}, 1, width)
+    return df.filter((F.col(pos) - F.col("__a") < gap) | (F.col("__b") - F.col(pos) < gap)).drop("__a", "__b")
+
+
+#: Samples in a block of the pair matrices, and sites that a task multiplies at a time.
+SAMPLE_BLOCK, SITE_BATCH = 512, 1024
 
 
-def concordance(calls: DataFrame, keys: Sequence[str], sample: str = "sample_idx", dosage: str = "dosage") -> DataFrame:
-    """Pairs of samples: shared sites, and those with different dosage.
+def concordance(calls: DataFrame, keys: Sequence[str], sample: str = "sample_idx", dosage: str = "dosage", salts: int = 64) -> DataFrame:
+    """Pairs of samples: shared sites, and those with different dosage (0, 1 or 2; one cell a sample and site).
 
-    Joined by site, so the work is the sum over sites of squared sample numbers, as the
-    result demands; partial counts are aggregated before the shuffle.
+    One row a site holds the dosages of its samples. For each pair of blocks of samples the
+    sites, dealt to ``salts`` tasks, are multiplied as matrices, and what leaves a task are counts
+    of pairs: never a row for each site and pair.
     """
-    left = calls.select(*keys, F.col(sample).alias("s1"), F.col(dosage).alias("d1"))
-    right = calls.select(*keys, F.col(sample).alias("s2"), F.col(dosage).alias("d2"))
-    pairs = left.join(right, list(keys)).filter("s1 < s2")
-    return pairs.groupBy("s1", "s2").agg(F.count("*").alias("n"), F.sum((F.col("d1") != F.col("d2")).cast("bigint")).alias("differ"))
+    kind = calls.schema[sample].dataType
+    block = F.floor(F.col(sample) / SAMPLE_BLOCK).cast("bigint")
+    cells = calls.select(*keys, block.alias("__k"), F.struct(F.col(sample).cast("bigint").alias("s"), F.col(dosage).cast("int").alias("d")).alias("c"))
+    rows = cells.groupBy(*keys, "__k").agg(F.collect_list("c").alias("c")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("__k").alias("k"), "c"))).alias("b"))
+    pairs = F.flatten(F.transform("b", lambda x, i: F.transform(F.slice("b", i + 1, F.size("b")), lambda y: F.struct(x["k"].alias("i"), y["k"].alias("j"), x["c"].alias("x"), y["c"].alias("y")))))
+    rows = rows.select(F.pmod(F.xxhash64(*keys), F.lit(salts)).alias("salt"), F.explode(pairs).alias("p"))
+    rows = rows.select("p.i", "p.j", "salt", F.col("p.x.s").alias("xs"), F.col("p.x.d").alias("xd"), F.col("p.y.s").alias("ys"), F.col("p.y.d").alias("yd"))
+    rows = rows.repartition("i", "j", "salt").sortWithinPartitions("i", "j")
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        at, shared, same = None, None, None
+
+        def counts():
+            a, b = np.nonzero(np.triu(shared, 1) if at[0] == at[1] else shared)
+            n = shared[a, b].astype(np.int64)
+            return pa.RecordBatch.from_pydict({"s1": a + at[0] * SAMPLE_BLOCK, "s2": b + at[1] * SAMPLE_BLOCK, "n": n, "differ": n - same[a, b].astype(np.int64)})
+
+        def matrices(c, name):
+            lists = c.column(c.schema.get_field_index(f"{name}s")), c.column(c.schema.get_field_index(f"{name}d"))
+            site = np.repeat(np.arange(c.num_rows), np.diff(lists[0].offsets.to_numpy()))
+            s, d = lists[0].flatten().to_numpy() % SAMPLE_BLOCK, lists[1].flatten().to_numpy()
+            out = np.zeros((3, c.num_rows, SAMPLE_BLOCK), np.float32)
+            out[d, site, s] = 1
+            return out
+
+        for b in batches:
+            i, j = (b.column(k).to_numpy() for k in (0, 1))
+            cuts = [0, *(np.flatnonzero((np.diff(i) != 0) | (np.diff(j) != 0)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi == lo:
+                    continue
+                if (int(i[lo]), int(j[lo])) != at:
+                    if at:
+                        yield counts()
+                    at, shared, same = (int(i[lo]), int(j[lo])), np.zeros((SAMPLE_BLOCK,) * 2), np.zeros((SAMPLE_BLOCK,) * 2)
+                for k in range(lo, hi, SITE_BATCH):
+                    part = b.slice(k, min(SITE_BATCH, hi - k))
+                    x, y = matrices(part, "x"), matrices(part, "y")
+                    shared += x.sum(0).T @ y.sum(0)
+                    same += sum(x[d].T @ y[d] for d in range(3))
+        if at:
+            yield counts()
+
+    parts = rows.mapInArrow(run, "s1 long, s2 long, n long, differ long")
+    return parts.groupBy(F.col("s1").cast(kind).alias("s1"), F.col("s2").cast(kind).alias("s2")).agg(F.sum("n").alias("n"), F.sum("differ").alias("differ"))
 
 
 def site_tags(calls: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -16,7 +16,9 @@ ORACLE: dict[str, str] = {}
 
 KEYS = ("chrom", "pos")
 SAMPLES = (3, 1, 7, 2)
-RANGE = "Brand#13:1,100000"
+
+#: Positions in a block of the ordered operators; a genome would take a million.
+WIDTH = 5000
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -155,7 +157,7 @@ def block_zone_map(spark, sf_dir):
 
 @query("WITH e AS (SELECT p_brand AS chrom, p_partkey AS pos, LEAD(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS e FROM part) SELECT chrom, pos // 100 AS block, COUNT(*) AS n, MIN(pos) AS first_pos, MAX(COALESCE(e, pos)) AS last_pos FROM e GROUP BY 1, 2")
 def gvcf_block_index(spark, sf_dir):
-    return counts.zone_map(ordered.infer_ends(sites(spark, sf_dir), ("chrom",)), 100, end="end_pos")
+    return counts.zone_map(ordered.infer_ends(sites(spark, sf_dir), ("chrom",), width=WIDTH), 100, end="end_pos")
 
 
 @query(DUCK_CALLS + "SELECT chrom, pos FROM calls GROUP BY 1, 2 HAVING MAX(CASE WHEN a1 = 0 AND a2 = 0 THEN 0 ELSE 1 END) = 0")
@@ -225,22 +227,22 @@ def _small(spark, sf_dir):
 
 @query(_PART + ", r AS (SELECT *, CASE WHEN LAG(v) OVER w = v THEN 0 ELSE 1 END AS n FROM s WINDOW w AS (PARTITION BY chrom ORDER BY pos)), k AS (SELECT *, CAST(SUM(n) OVER (PARTITION BY chrom ORDER BY pos) AS BIGINT) AS run FROM r)\nSELECT chrom, run, MIN(v) AS value, COUNT(*) AS length FROM k GROUP BY 1, 2")
 def rle(spark, sf_dir):
-    return ordered.run_lengths(_small(spark, sf_dir), "v", ("chrom",), ("pos",))
+    return ordered.run_lengths(_small(spark, sf_dir), "v", ("chrom",), ("pos",), WIDTH)
 
 
 @query(_PART + ", r AS (SELECT *, CASE WHEN LAG(v) OVER (PARTITION BY chrom ORDER BY pos) = v THEN 0 ELSE 1 END AS n FROM s)\nSELECT chrom, COUNT(*) AS n, CAST(SUM(n) AS BIGINT) AS runs, COUNT(DISTINCT v) AS uniques, ROUND(SUM(n) / COUNT(*), 6) AS run_ratio, ROUND(COUNT(DISTINCT v) / COUNT(*), 6) AS unique_ratio FROM r GROUP BY 1")
 def run_ratio(spark, sf_dir):
-    return ordered.run_ratio(_small(spark, sf_dir), "v", ("chrom",), ("pos",))
+    return ordered.run_ratio(_small(spark, sf_dir), "v", ("chrom",), ("pos",), WIDTH)
 
 
 @query(_PART + " SELECT chrom, pos, pos - COALESCE(LAG(pos) OVER (PARTITION BY chrom ORDER BY pos), 0) AS delta FROM s")
 def pos_delta(spark, sf_dir):
-    return ordered.deltas(_small(spark, sf_dir), "pos", ("chrom",), ("pos",)).select("chrom", "pos", "delta")
+    return ordered.deltas(_small(spark, sf_dir), "pos", ("chrom",), ("pos",), WIDTH).select("chrom", "pos", "delta")
 
 
 @query("WITH d AS (SELECT p_type AS value, MIN(p_partkey) AS first_at, COUNT(*) AS n FROM part GROUP BY 1) SELECT *, ROW_NUMBER() OVER (ORDER BY first_at, value) - 1 AS code FROM d")
 def dictionary(spark, sf_dir):
-    return ordered.dictionary(table(spark, sf_dir, "part").selectExpr("p_type AS value", "p_partkey"), "value", "p_partkey")
+    return ordered.dictionary(table(spark, sf_dir, "part").selectExpr("p_type AS value", "p_partkey"), "value", "p_partkey", WIDTH)
 
 
 @query(_PART + ", c AS (SELECT chrom, v, COUNT(*) AS c FROM s GROUP BY 1, 2), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY chrom ORDER BY c DESC, v) AS k, SUM(c) OVER (PARTITION BY chrom) AS n FROM c)\nSELECT chrom, v AS dominant, ROUND(c / n, 6) AS ratio, CAST(n - c AS BIGINT) AS patches FROM r WHERE k = 1")
@@ -255,7 +257,7 @@ def field_analysis(spark, sf_dir):
 
 @query(_PART + " SELECT chrom, pos, LEAD(pos) OVER (PARTITION BY chrom ORDER BY pos) - 1 AS end_pos FROM s")
 def end_inference(spark, sf_dir):
-    return ordered.infer_ends(_small(spark, sf_dir), ("chrom",)).select("chrom", "pos", "end_pos")
+    return ordered.infer_ends(_small(spark, sf_dir), ("chrom",), width=WIDTH).select("chrom", "pos", "end_pos")
 
 
 _BELOW = ", ".join(f"CAST(SUM(CASE WHEN ABS(d) < {1 << k} THEN 1 ELSE 0 END) AS BIGINT) AS below_{1 << k}" for k in range(1, 13))
@@ -264,17 +266,17 @@ _HIST = f"SELECT COUNT(*) AS n, CAST(SUM(CASE WHEN d = 0 THEN 1 ELSE 0 END) AS B
 
 @query(DUCK_CALLS + ", w AS (SELECT *, LAG(pl1) OVER s AS b, LAG(pl0) OVER s AS b0 FROM calls WINDOW s AS (PARTITION BY sample_idx ORDER BY chrom, pos)), d AS (SELECT pl1 - b AS d FROM w WHERE pl0 = 0 AND b0 = 0)\n" + _HIST)
 def pl_delta_hist(spark, sf_dir):
-    return ordered.delta_histogram(ordered.valid_deltas(calls(spark, sf_dir), "pl1", "pl0 = 0"))
+    return ordered.delta_histogram(ordered.valid_deltas(calls(spark, sf_dir), "pl1", "pl0 = 0", width=WIDTH))
 
 
 @query(DUCK_CALLS + ", w AS (SELECT *, LAG(ad0) OVER s AS b, LAG(ad1) OVER s AS b1 FROM calls WINDOW s AS (PARTITION BY sample_idx ORDER BY chrom, pos)), d AS (SELECT ad0 - b AS d FROM w WHERE ad1 = 0 AND b1 = 0)\n" + _HIST)
 def ad_delta_hist(spark, sf_dir):
-    return ordered.delta_histogram(ordered.valid_deltas(calls(spark, sf_dir), "ad0", "ad1 = 0"))
+    return ordered.delta_histogram(ordered.valid_deltas(calls(spark, sf_dir), "ad0", "ad1 = 0", width=WIDTH))
 
 
 @query(DUCK_CALLS + ", w AS (SELECT chrom, pos, CAST(ad0 + ad1 AS DOUBLE) AS x, CAST(LAG(ad0 + ad1) OVER (PARTITION BY sample_idx ORDER BY chrom, pos) AS DOUBLE) AS y FROM calls)\nSELECT chrom, pos, COUNT(*) AS n, ROUND(covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)), 6) AS r FROM w WHERE y IS NOT NULL GROUP BY 1, 2 HAVING COUNT(*) >= 3 AND stddev_pop(x) > 0 AND stddev_pop(y) > 0")
 def adjacent_corr(spark, sf_dir):
-    return ordered.adjacent_correlation(calls(spark, sf_dir).withColumn("s", F.col("ad0") + F.col("ad1")), "s")
+    return ordered.adjacent_correlation(calls(spark, sf_dir).withColumn("s", F.col("ad0") + F.col("ad1")), "s", width=WIDTH)
 
 
 # --- FORMAT statistics -----------------------------------------------------
@@ -378,7 +380,10 @@ def pl_coverage(spark, sf_dir):
 _VAR = lambda c: f"CAST(SUM(CASE WHEN 2 * {c} < 128 THEN 1 WHEN 2 * {c} < 16384 THEN 2 WHEN 2 * {c} < 2097152 THEN 3 ELSE 4 END) AS BIGINT)"
 
 
-@query(DUCK_CALLS + f"SELECT 'pl1' AS field, {_VAR('pl1')} AS bytes FROM calls UNION ALL SELECT 'pl2', {_VAR('pl2')} FROM calls UNION ALL SELECT 'dp', {_VAR('dp')} FROM calls")
+_LONG = "SELECT 'pl1' AS field, pl1 AS x FROM calls UNION ALL SELECT 'pl2', pl2 FROM calls UNION ALL SELECT 'dp', dp FROM calls"
+
+
+@query(DUCK_CALLS + f", l AS ({_LONG}), c AS (SELECT field, CAST(CASE WHEN MAX(ABS(x)) < 128 THEN 1 WHEN MAX(ABS(x)) < 32768 THEN 2 ELSE 4 END * COUNT(x) AS BIGINT) AS fixed, CAST(SUM(strlen(CAST(x AS VARCHAR)) + 1) AS BIGINT) AS text, CAST(SUM(CASE WHEN x < 128 THEN 1 WHEN x < 16384 THEN 2 WHEN x < 2097152 THEN 3 ELSE 4 END) AS BIGINT) AS varint, {_VAR('x')} AS zigzag FROM l GROUP BY 1)\nSELECT *, CASE WHEN fixed <= LEAST(text, varint, zigzag) THEN 'fixed' WHEN text <= LEAST(varint, zigzag) THEN 'text' WHEN varint <= zigzag THEN 'varint' ELSE 'zigzag' END AS best FROM c")
 def codec_cost(spark, sf_dir):
     return format_stats.codec_cost(calls(spark, sf_dir), ("pl1", "pl2", "dp"))
 
@@ -499,7 +504,7 @@ def annotate_interval(spark, sf_dir):
 
 @query("WITH s AS (SELECT p_brand AS chrom, p_partkey AS pos, LAG(p_partkey) OVER w AS a, LEAD(p_partkey) OVER w AS b FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)) SELECT chrom, pos FROM s WHERE pos - a < 5 OR b - pos < 5")
 def snp_gap(spark, sf_dir):
-    return setops.near(sites(spark, sf_dir), 5).select("chrom", "pos")
+    return setops.near(sites(spark, sf_dir), 5, width=WIDTH).select("chrom", "pos")
 
 
 _DOS = "(CASE WHEN a1 = 1 THEN 1 ELSE 0 END + CASE WHEN a2 = 1 THEN 1 ELSE 0 END)"
@@ -596,18 +601,18 @@ def shared_counts(spark, sf_dir):
 @query("WITH s AS (SELECT p_brand AS chrom, p_partkey AS pos, p_partkey + p_size AS e FROM part), r AS (SELECT *, MAX(e) OVER (PARTITION BY chrom ORDER BY pos, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach, LEAD(pos) OVER (PARTITION BY chrom ORDER BY pos, e) AS nx FROM s) SELECT chrom, pos, e AS \"end\" FROM r WHERE COALESCE(reach, -1) < pos AND (nx IS NULL OR nx > e)")
 def without_overlaps(spark, sf_dir):
     df = table(spark, sf_dir, "part").selectExpr("p_brand AS chrom", "p_partkey AS pos", "p_partkey + p_size AS end")
-    return plugins.without_overlaps(df)
+    return plugins.without_overlaps(df, width=WIDTH)
 
 
 @query("WITH s AS (SELECT p_brand AS chrom, p_partkey AS pos, p_size // 10 AS b, p_size AS dp FROM part), r AS (SELECT *, CASE WHEN LAG(b) OVER (PARTITION BY chrom ORDER BY pos) = b THEN 0 ELSE 1 END AS n FROM s), k AS (SELECT *, SUM(n) OVER (PARTITION BY chrom ORDER BY pos) AS k FROM r) SELECT chrom, MIN(pos) AS start, MAX(pos) AS end_pos, MIN(b) AS band, COUNT(*) AS n, MIN(dp) AS min_dp FROM k GROUP BY chrom, k")
 def gvcf_reblock(spark, sf_dir):
     df = table(spark, sf_dir, "part").selectExpr("p_brand AS chrom", "p_partkey AS pos", "p_size AS dp")
-    return plugins.reblock(df, F.expr("dp div 10"))
+    return plugins.reblock(df, F.expr("dp div 10"), width=WIDTH)
 
 
 @query("SELECT p_brand AS chrom, p_partkey AS pos, (ROW_NUMBER() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 7 AS chunk FROM part")
 def scatter_chunks(spark, sf_dir):
-    return plugins.scatter(sites(spark, sf_dir), 7).select("chrom", "pos", "chunk")
+    return plugins.scatter(sites(spark, sf_dir), 7, width=WIDTH).select("chrom", "pos", "chunk")
 
 
 @query(DUCK_CALLS + ", e AS (SELECT pos, sample_idx, power(10.0, -pl0 / 10.0) AS x, power(10.0, -pl1 / 10.0) AS y, power(10.0, -pl2 / 10.0) AS z FROM calls)\nSELECT pos, sample_idx, ROUND(x / (x + y + z), 5) AS p0, ROUND(y / (x + y + z), 5) AS p1, ROUND(z / (x + y + z), 5) AS p2 FROM e")
@@ -630,7 +635,7 @@ def allele_balance(spark, sf_dir):
 
 @query(DUCK_CALLS + ", h AS (SELECT *, a1 > a2 AS s, LAG(a1 > a2) OVER (PARTITION BY sample_idx ORDER BY chrom, pos) AS b FROM calls WHERE a1 >= 0 AND a2 >= 0 AND a1 <> a2)\nSELECT sample_idx, COUNT(*) AS het, CAST(SUM(CASE WHEN b IS NULL THEN NULL WHEN s <> b THEN 1 ELSE 0 END) AS BIGINT) AS switches FROM h GROUP BY 1")
 def switch_points(spark, sf_dir):
-    return plugins.switch_points(calls(spark, sf_dir))
+    return plugins.switch_points(calls(spark, sf_dir), width=WIDTH)
 
 
 @query(DUCK_SITES + "SELECT chrom, pos FROM sites WHERE TRY_CAST(qual AS DOUBLE) > 20 AND (alt = 'G' OR pos % 2 = 1) AND NOT regexp_matches(id, '7$')".replace("pos % 2 = 1", "alt LIKE '%,T,%'"))
@@ -649,9 +654,20 @@ _LEN = lambda c: f"CASE WHEN {c} < 128 THEN 1 WHEN {c} < 16384 THEN 2 WHEN {c} <
 _ZIG = lambda c: _LEN(f"(CASE WHEN {c} >= 0 THEN 2 * ({c}) ELSE -2 * ({c}) - 1 END)")
 
 
-@query(DUCK_CALLS + ", w AS (SELECT *, pl1 - COALESCE(LAG(pl1) OVER s, 0) AS da, pl2 - COALESCE(LAG(pl2) OVER s, 0) AS db FROM calls WHERE pl0 = 0 WINDOW s AS (PARTITION BY sample_idx ORDER BY chrom, pos))\n" + f"SELECT COUNT(*) AS n, CAST(SUM({_ZIG('pl1')} + {_ZIG('pl2')}) AS BIGINT) AS plain, CAST(SUM({_ZIG('da')} + {_ZIG('db')}) AS BIGINT) AS delta, CAST(SUM({_ZIG('pl1')} + {_ZIG('(pl2 - 11 * pl1)')}) AS BIGINT) AS residual FROM w")
+_FITS = ", ".join(f"CAST(SUM(CASE WHEN ABS(st) < {1 << (k - 1)} AND ABS(pl2 - 11 * pl1) < {1 << (k - 1)} THEN 1 ELSE 0 END) AS BIGINT) AS bits_{k}" for k in (5, 6, 7))
+
+
+@query(DUCK_CALLS + ", w AS (SELECT *, pl1 - COALESCE(LAG(pl1) OVER s, 0) AS da, pl2 - COALESCE(LAG(pl2) OVER s, 0) AS db, pl1 - COALESCE(LAG(pl1) OVER s, pl1) AS st FROM calls WHERE pl0 = 0 WINDOW s AS (PARTITION BY sample_idx ORDER BY chrom, pos))\n" + f"SELECT COUNT(*) AS n, CAST(SUM({_ZIG('pl1')} + {_ZIG('pl2')}) AS BIGINT) AS plain, CAST(SUM({_ZIG('da')} + {_ZIG('db')}) AS BIGINT) AS delta, CAST(SUM({_ZIG('pl1')} + {_ZIG('(pl2 - 11 * pl1)')}) AS BIGINT) AS residual, {_FITS} FROM w")
 def pl_fallback_costs(spark, sf_dir):
-    return format_stats.fallback_costs(calls(spark, sf_dir))
+    return ordered.fallback_costs(calls(spark, sf_dir), width=WIDTH)
+
+
+_STEP = _ZIG("(pl1 - COALESCE(pa, 0))")
+
+
+@query(DUCK_CALLS + ", k AS (SELECT * FROM calls WHERE pl0 = 0 AND (pl1 <> 0 OR pl2 <> 0) AND NOT (pl1 > 0 AND pl2 = 15 * pl1)), w AS (SELECT *, LAG(pl1) OVER s AS pa, LAG(pl2) OVER s AS pb FROM k WINDOW s AS (PARTITION BY sample_idx ORDER BY chrom, pos))\n" + "SELECT codec, CAST(bytes AS BIGINT) AS bytes FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS codec, SUM({e}) AS bytes FROM w" for k, e in {"baseline": f"{_ZIG('pl1')} + {_ZIG('pl2')}", **{f"ratio_{r}": f"{_STEP} + {_ZIG(f'(pl2 - {r} * pl1)')}" for r in (10, 11, 12)}, "adaptive": f"{_STEP} + 1 + LEAST(" + ", ".join(_ZIG(f"(pl2 - {r} * pl1)") for r in (10, 11, 12)) + ")", "joint_delta": f"{_STEP} + {_ZIG('(pl2 - COALESCE(pb, 0))')}"}.items()) + ")")
+def pl_codecs(spark, sf_dir):
+    return format_stats.pl_codecs(calls(spark, sf_dir), width=WIDTH)
 
 
 @query(DUCK_CALLS + ", c AS (SELECT ad0, COUNT(*) AS c FROM calls GROUP BY 1)\nSELECT CAST(SUM(c) AS BIGINT) AS n, ROUND(log2(SUM(c)) - SUM(c * log2(c)) / SUM(c), 6) AS bits FROM c")
@@ -676,8 +692,34 @@ def bench_throughput(spark, sf_dir):
     return bench.throughput(h, "n", "elapsed_s").select("dataset", "month", "throughput")
 
 
-@query(DUCK_CALLS + ", s AS (SELECT chrom, pos, SUM(ad0 + ad1) AS s FROM calls GROUP BY 1, 2), d AS (SELECT s - LAG(s) OVER (PARTITION BY chrom ORDER BY pos) AS d FROM s), v AS (SELECT CAST(ABS(d) AS DOUBLE) AS x FROM d WHERE d IS NOT NULL)\nSELECT " + _DIST + " FROM v")
+@query(DUCK_CALLS + ", s AS (SELECT chrom, pos, SUM(ad0 + ad1) AS s FROM calls GROUP BY 1, 2), d AS (SELECT s - LAG(s) OVER (PARTITION BY chrom ORDER BY pos) AS d FROM s), v AS (SELECT CAST(d AS DOUBLE) AS x FROM d WHERE d IS NOT NULL)\nSELECT " + _DIST.replace("x < 5", "ABS(x) < 5") + " FROM v")
 def sum_ad_difference(spark, sf_dir):
+    """Signed differences; the share below 5 is of absolute values."""
     s = calls(spark, sf_dir).groupBy(*KEYS).agg(F.sum(F.col("ad0") + F.col("ad1")).alias("s"))
-    d = ordered.deltas(s, "s", ("chrom",), ("pos",)).join(s.groupBy("chrom").agg(F.min("pos").alias("first")), "chrom").filter("pos > first")
-    return format_stats.distribution(d, F.abs("delta"))
+    d = ordered.neighbour(s, ("chrom",), ("pos",), {"before": F.col("s")}, width=WIDTH).filter("before IS NOT NULL")
+    return format_stats.distribution(d, F.col("s") - F.col("before"), F.abs("x"))
+
+
+@query("WITH e AS (SELECT p_brand AS chrom, p_partkey AS pos, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_partkey + p_size - 1 END AS \"end\", LEAD(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part) SELECT chrom, pos, COALESCE(\"end\", pos) - pos AS diff FROM e WHERE n IS NULL OR COALESCE(\"end\", pos) + 1 <> n")
+def end_exceptions(spark, sf_dir):
+    df = table(spark, sf_dir, "part").selectExpr("p_brand AS chrom", "p_partkey AS pos", "CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_partkey + p_size - 1 END AS end")
+    return ordered.end_exceptions(df, ("chrom",), width=WIDTH).select("chrom", "pos", "diff")
+
+
+@query("SELECT a.p_brand AS chrom, a.p_partkey AS start, b.p_partkey AS start_b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <= b.p_partkey + b.p_size * 2 AND b.p_partkey <= a.p_partkey + a.p_size")
+def overlap_intervals(spark, sf_dir):
+    spans = lambda k: table(spark, sf_dir, "part").selectExpr("p_brand AS chrom", "p_partkey AS start", f"p_partkey + p_size * {k} AS end")
+    return setops.overlap_intervals(spans(1), spans(2), 64).select("chrom", "start", "start_b")
+
+
+_TEXT = "WITH s AS (SELECT p_brand AS chrom, p_type AS t FROM part)"
+
+
+@query(_TEXT + ", c AS (SELECT chrom, t, COUNT(*) AS c FROM s GROUP BY 1, 2), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY chrom ORDER BY c DESC, t) AS k, SUM(c) OVER (PARTITION BY chrom) AS n FROM c) SELECT chrom, t AS dominant, ROUND(c / n, 6) AS ratio, CAST(n - c AS BIGINT) AS patches FROM r WHERE k = 1")
+def dominant_text(spark, sf_dir):
+    return ordered.dominant(table(spark, sf_dir, "part").selectExpr("p_brand AS chrom", "p_type AS t"), "t", ("chrom",))
+
+
+@query(_TEXT + ", c AS (SELECT t, COUNT(*) AS c FROM s GROUP BY 1) SELECT CAST(SUM(c) AS BIGINT) AS total, COUNT(*) AS uniques, MIN(t) AS least, MAX(t) AS largest, ROUND(SUM(c * length(t)) / SUM(c), 6) AS mean, ROUND(COUNT(*) / SUM(c), 6) AS repetition_ratio, ROUND(MAX(c) / SUM(c), 6) AS dominant_ratio, CASE WHEN MAX(c) / SUM(c) >= 0.7 THEN 'mask' WHEN COUNT(*) / SUM(c) < 0.3 THEN 'dictionary' ELSE 'raw' END AS encoding FROM c")
+def field_analysis_text(spark, sf_dir):
+    return ordered.field_analysis(table(spark, sf_dir, "part").selectExpr("p_type AS t"), "t")
