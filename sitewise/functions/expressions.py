@@ -22,14 +22,24 @@ NAMES = {
     "TYPE": "(CASE WHEN alt = '.' THEN 'ref' WHEN alt LIKE '%<%' THEN 'other' WHEN length(ref) = length(substring_index(alt, ',', 1)) THEN IF(length(ref) = 1, 'snp', 'mnp') ELSE 'indel' END)",
 }
 
-#: Functions of one array or number; arrays may be columns of per-sample values.
+_KNOWN = "filter({0}, x -> x IS NOT NULL)"
+_SUM = "aggregate({0}, 0D, (a, x) -> a + coalesce(x, 0))"
+_AVG = f"({_SUM} / nullif(size({_KNOWN}), 0))"
+_SORTED = f"array_sort({_KNOWN})"
+
+#: Functions of one array or number; arrays may be columns of per-sample values. Nulls count in none.
 FUNCTIONS = {
-    "MAX": "array_max({})", "MIN": "array_min({})", "SUM": "aggregate({}, 0D, (a, x) -> a + coalesce(x, 0))", "AVG": "(aggregate({0}, 0D, (a, x) -> a + coalesce(x, 0)) / nullif(size(filter({0}, x -> x IS NOT NULL)), 0))",
-    "MEAN": "(aggregate({0}, 0D, (a, x) -> a + coalesce(x, 0)) / nullif(size(filter({0}, x -> x IS NOT NULL)), 0))", "COUNT": "size(filter({}, x -> x IS NOT NULL))", "ABS": "abs({})", "STRLEN": "length({})",
-    "PHRED": "(-10 * log10({}))", "N_PASS": "size(filter({}, x -> x))", "F_PASS": "(size(filter({0}, x -> x)) / nullif(size({0}), 0))",
-    "MEDIAN": "(array_sort({0})[int((size({0}) - 1) / 2)] + array_sort({0})[int(size({0}) / 2)]) / 2",
+    "MAX": "array_max({0})", "MIN": "array_min({0})", "SUM": _SUM, "AVG": _AVG, "MEAN": _AVG, "COUNT": f"size({_KNOWN})", "ABS": "abs({0})", "STRLEN": "length({0})",
+    "PHRED": "(-10 * log10({0}))", "N_PASS": "size(filter({0}, x -> x))", "F_PASS": "(size(filter({0}, x -> x)) / nullif(size({0}), 0))",
+    "MEDIAN": f"((get({_SORTED}, int((size({_KNOWN}) - 1) / 2)) + get({_SORTED}, int(size({_KNOWN}) / 2))) / 2)",
+    "STDEV": f"sqrt(greatest(0D, aggregate({{0}}, 0D, (a, x) -> a + coalesce(double(x) * x, 0)) / nullif(size({_KNOWN}), 0) - {_AVG} * {_AVG}))",
+    "BINOM": "(CASE WHEN {0}[0] + {0}[1] = 0 THEN 1D WHEN {0}[0] = {0}[1] THEN 1D ELSE least(1D, 2 * aggregate(sequence(0, int(least({0}[0], {0}[1]))), "
+    "named_struct('l', -({0}[0] + {0}[1]) * ln(2D), 's', 0D), (a, i) -> named_struct('l', a.l + ln(double({0}[0] + {0}[1] - i) / (i + 1)), 's', a.s + exp(a.l)), a -> a.s)) END)",
 }
 
+#: The same of each sample's values, where a field is an array of arrays.
+FUNCTIONS |= {f"{p}{k}": "transform({0}, s -> " + FUNCTIONS[k].format("s") + ")" for k in ("MAX", "MIN", "SUM", "AVG", "MEAN", "MEDIAN", "STDEV", "BINOM") for p in ("SMPL_", "s")}
+
 _LEVELS = (("||", "|"), ("&&", "&"), ("==", "=", "!=", "<", ">", "<=", ">=", "~", "!~"), ("+", "-"), ("*", "/"))
 _SQL = {"||": "OR", "|": "OR", "&&": "AND", "&": "AND", "==": "=", "!=": "<>"}
 

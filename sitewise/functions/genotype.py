@@ -157,3 +157,49 @@ def human_size(n: Column) -> Column:
     for k, unit in ((1, "KB"), (2, "MB"), (3, "GB"), (4, "TB")):
         out = F.when(n >= 1024**k, F.concat(F.format_string("%.2f", n / float(1024**k)), F.lit(f" {unit}"))).otherwise(out)
     return out
+
+
+def unzigzag(x: Column) -> Column:
+    return F.shiftrightunsigned(x, 1).bitwiseXOR(-x.bitwiseAND(F.lit(1).cast("bigint")))
+
+
+def varint_bytes(x: Column) -> Column:
+    """Hex text of a nonnegative integer in groups of seven bits, low groups first, with a high bit on all but the last."""
+    n = varint_len(x)
+    group = lambda i: F.call_function("shiftright", x, i * 7).bitwiseAND(127)
+    one = lambda i: F.lpad(F.hex(group(i) + F.when(i < n - 1, 128).otherwise(0)), 2, "0")
+    return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), one), "")
+
+
+def varint_value(text: Column) -> Column:
+    """The integer of such a hex text."""
+    at = lambda i: F.conv(F.substring(text, i * 2 + 1, F.lit(2)), 16, 10).cast("bigint").bitwiseAND(127)
+    return F.aggregate(F.sequence(F.lit(0), (F.length(text) / 2).cast("int") - 1), F.lit(0).cast("bigint"), lambda a, i: a + F.call_function("shiftleft", at(i), i * 7))
+
+
+def bitmap(flags: Column) -> Column:
+    """The flags of an array, first in the lowest bit, as 64-bit words."""
+    words = F.ceil(F.size(flags) / 64).cast("int")
+    bit = lambda w: F.aggregate(
+        F.slice(flags, w * 64 + 1, F.lit(64)), F.struct(F.lit(0).cast("bigint").alias("v"), F.lit(0).alias("i")),
+        lambda a, x: F.struct(F.when(x, a["v"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), a["i"]))).otherwise(a["v"]).alias("v"), (a["i"] + 1).alias("i")), lambda a: a["v"],
+    )
+    return F.when(F.size(flags) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), words - 1), bit))
+
+
+def popcount(words: Column) -> Column:
+    """Bits that are set in an array of 64-bit words."""
+    return F.aggregate(words, F.lit(0), lambda a, x: a + F.bit_count(x))
+
+
+def canonical_format(keys: Column, cells: Column) -> Column:
+    """FORMAT keys in order, and each cell's values in the same order, short cells filled with ``.``: struct<keys, cells>."""
+    names = F.split(keys, ":")
+    order = F.array_sort(F.transform(names, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+    value = lambda c, o: F.coalesce(F.get(F.split(c, ":"), o["i"]), F.lit("."))
+    return F.struct(F.array_join(F.transform(order, lambda o: o["k"]), ":").alias("keys"), F.transform(cells, lambda c: F.array_join(F.transform(order, lambda o: value(c, o)), ":")).alias("cells"))
+
+
+def canonical_exponent(text: Column) -> Column:
+    """Numbers like ``1.00e+05`` without the zeros before their exponent."""
+    return F.regexp_replace(text, r"0+e\+", "e+")

@@ -60,3 +60,25 @@ def sparkline(long: DataFrame, keys: Sequence[str], order: str, n: int = 8) -> D
     low, high = F.array_min("v"), F.array_max("v")
     level = lambda x: F.when(high == low, 1).otherwise(F.floor((x - low) * 7 / (high - low)) + 1).cast("int")
     return got.select(*keys, F.array_join(F.transform("v", lambda x: F.substring(F.lit(_BARS), level(x), F.lit(1))), "").alias("spark"))
+
+
+def markdown(trends: DataFrame, keys: Sequence[str], title: str = "Benchmarks") -> str:
+    """A report of trends as a table; one row a group, so that it fits the driver."""
+    names = [*keys, "n", "last", "prev", "delta", "delta_pct"]
+    shown = lambda v: "" if v is None else f"{v:g}" if isinstance(v, float) else str(v)
+    rows = trends.select(*names).orderBy(*keys).collect()
+    table = [f"| {' | '.join(names)} |", f"|{' --- |' * len(names)}", *(f"| {' | '.join(map(shown, r))} |" for r in rows)]
+    return "\n".join([f"# {title}", "", *table, ""])
+
+
+def write_report(trends: DataFrame, folder: str, keys: Sequence[str]) -> None:
+    """``report.md`` and ``trend.csv`` in a local folder."""
+    import csv
+    from pathlib import Path
+
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    (Path(folder) / "report.md").write_text(markdown(trends, keys))
+    with open(Path(folder) / "trend.csv", "w", newline="") as f:
+        out = csv.writer(f)
+        out.writerow(trends.columns)
+        out.writerows(tuple(r) for r in trends.orderBy(*keys).collect())

@@ -31,10 +31,21 @@ def chrom_index(df: DataFrame, chrom: str = "chrom", pos: str = "pos") -> DataFr
     return df.groupBy(chrom).agg(F.count("*").alias("n"), F.min(pos).alias("min_pos"), F.max(pos).alias("max_pos"))
 
 
-def zone_map(df: DataFrame, rows: int = 100, chrom: str = "chrom", pos: str = "pos", end: str | None = None) -> DataFrame:
-    """Count, first and last position of position blocks of width ``rows``."""
-    block = F.floor(F.col(pos) / rows).cast("bigint").alias("block")
-    return df.groupBy(chrom, block).agg(F.count("*").alias("n"), F.min(pos).alias("first_pos"), F.max(F.coalesce(F.col(end), F.col(pos)) if end else F.col(pos)).alias("last_pos"))
+def zone_map(df: DataFrame, span: int = 100, chrom: str = "chrom", pos: str = "pos", end: str | None = None) -> DataFrame:
+    """Count, first and last position of position blocks of width ``span``."""
+    return _zones(df.withColumn("block", F.floor(F.col(pos) / span).cast("bigint")), chrom, pos, end)
+
+
+def row_zone_map(df: DataFrame, rows: int = 100, chrom: str = "chrom", pos: str = "pos", end: str | None = None, width: int | None = None) -> DataFrame:
+    """Count, first and last position of blocks of ``rows`` records of a chromosome, in order."""
+    from .ordered import running
+
+    df = running(df, (chrom,), (pos,), "__i", F.lit(1).cast("bigint"), width)
+    return _zones(df.withColumn("block", F.floor((F.col("__i") - 1) / rows).cast("bigint")), chrom, pos, end)
+
+
+def _zones(df: DataFrame, chrom: str, pos: str, end: str | None) -> DataFrame:
+    return df.groupBy(chrom, "block").agg(F.count("*").alias("n"), F.min(pos).alias("first_pos"), F.max(F.coalesce(F.col(end), F.col(pos)) if end else F.col(pos)).alias("last_pos"))
 
 
 def ref_only(calls: DataFrame, keys: Sequence[str], alleles: Sequence[str] = ("a1", "a2")) -> DataFrame:
@@ -50,9 +61,31 @@ def genotype_rows(calls: DataFrame, keys: Sequence[str], sample: str = "sample_i
 
 
 def duplicate_rows(rows: DataFrame, order: str = "pos", row: str = "row") -> DataFrame:
-    """Sites whose genotype row another site had before: ``copy_of`` is the first such site."""
-    first = rows.groupBy(row).agg(F.min(order).alias("copy_of"))
-    return rows.join(first, row).filter(F.col(order) > F.col("copy_of")).drop(row)
+    """Sites whose genotype row another site had before: ``copy_of`` is the first such site.
+
+    Rows meet by a digest of 128 bits, and of those whose digests are equal the rows themselves are compared.
+    """
+    marked = rows.withColumn("__d", F.unhex(F.md5(F.col(row).cast("binary"))))
+    first = marked.groupBy("__d").agg(F.min(order).alias("__f"), F.count("*").alias("__n")).filter("__n > 1").select("__d", "__f")
+    some = marked.join(first, "__d")
+    firsts = some.filter(F.col(order) == F.col("__f")).select("__d", F.col(row).alias("__r"), F.col(order).alias("copy_of"))
+    later = some.filter(F.col(order) > F.col("__f")).join(firsts, "__d").filter(F.col(row) == F.col("__r"))
+    return later.drop("__d", "__f", "__r", row)
+
+
+def near_duplicate_rows(rows: DataFrame, depth: int = 100, order: str = "pos", row: str = "row", width: int | None = None) -> DataFrame:
+    """Sites whose genotype row is that of a site at most ``depth`` records before (0: of none): the nearest is ``copy_of``."""
+    from pyspark.sql import Window as W
+
+    from .ordered import running
+
+    if not depth:
+        return rows.withColumn("copy_of", F.col(order)).limit(0).drop(row)
+    marked = running(rows.withColumn("__all", F.lit(0)), ("__all",), (order,), "__no", F.lit(1).cast("bigint"), width)
+    marked = marked.withColumn("__d", F.unhex(F.md5(F.col(row).cast("binary"))))
+    w = W.partitionBy("__d", row).orderBy("__no")
+    found = marked.withColumns({"__b": F.lag("__no").over(w), "copy_of": F.lag(order).over(w)})
+    return found.filter(F.col("__no") - F.col("__b") <= depth).drop("__all", "__no", "__d", "__b", row)
 
 
 def hap_density(calls: DataFrame, sample: str = "sample_idx", alleles: Sequence[str] = ("a1", "a2")) -> DataFrame:
@@ -68,6 +101,17 @@ def field_bytes(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return _share(long)
 
 
+def field_ratios(df: DataFrame, fields: Sequence[str], genotypes: int | None = None) -> DataFrame:
+    """By field: rows, text bytes, bytes when each distinct value is stored once beside a number for each row,
+    their ratio, and bits of that for each of ``genotypes`` (rows if not given)."""
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v")) for f in fields))).alias("x")).select("x.*")
+    values = long.groupBy("field", "v").agg(F.count("*").alias("c"))
+    one = values.groupBy("field").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.octet_length("v")).alias("raw"), F.sum(F.octet_length("v")).alias("d"), F.count("*").alias("k"))
+    width = F.when(F.col("k") <= 1 << 8, 1).when(F.col("k") <= 1 << 16, 2).otherwise(4)
+    one = one.withColumn("packed", F.col("d") + F.col("n") * width)
+    return one.select("field", "n", "raw", "packed", F.round(F.col("raw") / F.col("packed"), 4).alias("ratio"), F.round(F.col("packed") * 8 / (F.lit(genotypes) if genotypes else F.col("n")), 4).alias("bits"))
+
+
 def _share(long: DataFrame) -> DataFrame:
     from pyspark.sql import Window as W
 

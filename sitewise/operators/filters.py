@@ -112,3 +112,19 @@ def check_ploidy(df: DataFrame, ploidy: int = 2, gt: str = "gt") -> DataFrame:
 def sample_names(df: DataFrame, n: int, seed: int = 42, name: str = "sample_idx") -> DataFrame:
     """``n`` names chosen by a seeded hash: the same for any partitioning."""
     return df.select(name).distinct().orderBy(F.xxhash64(F.col(name), F.lit(seed)), name).limit(n)
+
+
+def first_samples(df: DataFrame, n: int, name: str = "sample_idx") -> DataFrame:
+    """Cells of the ``n`` samples that come first by name or number."""
+    first = df.select(name).distinct().orderBy(name).limit(n)
+    return df.join(first, name, "left_semi")
+
+
+def random_ranges(sites: DataFrame, n: int, widths: tuple[int, ...], seed: int = 42, chrom: str = "chrom", pos: str = "pos") -> DataFrame:
+    """(chrom, start, end, span): ``n`` ranges of each width that begin at sites chosen by a seeded hash."""
+    from pyspark.sql import Window as W
+
+    starts = sites.select(chrom, F.col(pos).alias("start")).distinct().withColumn("span", F.explode(F.array(*map(F.lit, widths))))
+    w = W.partitionBy("span").orderBy(F.xxhash64(chrom, "start", "span", F.lit(seed)), chrom, "start")
+    chosen = starts.withColumn("__i", F.row_number().over(w)).filter(F.col("__i") <= n)
+    return chosen.select(chrom, "start", (F.col("start") + F.col("span") - 1).alias("end"), "span")

@@ -167,3 +167,49 @@ def sparse(df: DataFrame, *fields: str) -> DataFrame:
     for f in fields:
         some = some | F.coalesce(F.col(f) != ".", F.lit(False))
     return df.filter(some)
+
+
+def prediction_exceptions(df: DataFrame, predicted: Column, actual: str, keys: Sequence[str]) -> DataFrame:
+    """Cells whose value is not the predicted one, with the difference; a cell without either is none."""
+    return df.withColumn("difference", F.col(actual) - predicted).filter("difference <> 0").select(*keys, actual, "difference")
+
+
+def argmin_mismatches(df: DataFrame, pl: str = "pl") -> DataFrame:
+    """Cells whose own genotype has not the least likelihood, by genotype class and the place that has, with the largest value."""
+    cells = df.filter(F.col("a1").isin(0, 1) & F.col("a2").isin(0, 1)).withColumn("gt_class", F.col("a1") + F.col("a2"))
+    at = F.array_position(pl, F.array_min(pl)).cast("bigint") - 1
+    own = F.get(pl, F.col("gt_class").cast("int"))
+    return cells.filter(own != F.array_min(pl)).groupBy("gt_class", at.alias("argmin")).agg(F.count("*").alias("n"), F.max(F.array_max(pl)).alias("largest"))
+
+
+def depth_tips(df: DataFrame, ad: str = "ad") -> DataFrame:
+    """Depths of any length by which are zero: all, all but the reference, the reference alone, or neither.
+
+    Classes are 00, 01 (reference only), 10 (an alternate only) and 11, with cells, depths and the mean number of alleles."""
+    ref, rest = F.get(ad, F.lit(0)), F.aggregate(F.slice(ad, F.lit(2), F.greatest(F.size(ad), F.lit(0))), F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x, F.lit(0)))
+    tip = F.when((ref == 0) & (rest == 0), "00").when(rest == 0, "01").when(ref == 0, "10").otherwise("11")
+    return df.filter(F.size(ad) > 1).groupBy(tip.alias("tip")).agg(F.count("*").alias("n"), F.sum(ref).alias("ref_depth"), F.sum(rest).alias("alt_depth"), F.round(F.avg(F.size(ad)), 4).alias("alleles"))
+
+
+def pattern_lengths(df: DataFrame, values: str) -> DataFrame:
+    """(length, n, patterns): cells and distinct arrays by array length."""
+    counts = df.groupBy(F.size(values).cast("bigint").alias("length"), F.array_join(F.col(values).cast("array<string>"), ",").alias("p")).agg(F.count("*").alias("c"))
+    return counts.groupBy("length").agg(F.sum("c").alias("n"), F.count("*").alias("patterns"))
+
+
+def value_shares(df: DataFrame, value: Column) -> DataFrame:
+    """One row: values, and the percentages that are 0 and that are the largest."""
+    counts = df.groupBy(value.alias("x")).agg(F.count("*").alias("c"))
+    one = counts.agg(F.sum("c").alias("n"), F.sum(F.when(F.col("x") == 0, F.col("c")).otherwise(0)).alias("z"), F.max_by("c", "x").alias("m"), F.max("x").alias("largest"))
+    return one.select("n", "largest", F.round(F.col("z") * 100 / F.col("n"), 4).alias("zero_percent"), F.round(F.col("m") * 100 / F.col("n"), 4).alias("largest_percent"))
+
+
+def ratio_histogram(df: DataFrame, a: str = "pl1", b: str = "pl2", most: int = 30) -> DataFrame:
+    """(ratio, n, mean_a): cells with a > 0 by the whole part of b / a, cut at ``most``."""
+    r = F.least(F.floor(F.col(b) / F.col(a)).cast("bigint"), F.lit(most))
+    return df.filter(f"{a} > 0").groupBy(r.alias("ratio")).agg(F.count("*").alias("n"), F.round(F.avg(a), 6).alias("mean_a"))
+
+
+def best_of(covered: DataFrame) -> DataFrame:
+    """The ratio that covers most cells (the least of equals) of a table (ratio, covered)."""
+    return covered.agg(F.max_by("ratio", F.struct("covered", -F.col("ratio"))).alias("ratio"), F.max("covered").alias("covered"))

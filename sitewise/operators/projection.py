@@ -7,23 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Sample lists up to this length are broadcast; longer ones are joined by shuffle.
-BROADCAST_SAMPLES = 100_000
-
 
 def requested(spark: SparkSession, names: Sequence, samples: DataFrame, name: str = "sample_idx") -> DataFrame:
-    """(rank, name) of the requested samples in request order; an unknown name raises."""
-    asked = spark.createDataFrame([(i, n) for i, n in enumerate(names)], schema=f"rank int, {name} {samples.schema[name].dataType.simpleString()}")
-    unknown = asked.join(samples.select(name).distinct(), name, "left_anti").limit(5).collect()
-    if unknown:
-        raise ValueError(f"unknown samples: {[r[name] for r in unknown]}")
-    return asked
+    """(rank, name) of the requested samples in request order; an unknown name raises. At most as many rows as asked for come to the driver."""
+    found = {r[0] for r in samples.filter(F.col(name).isin(*names)).select(name).distinct().collect()}
+    if unknown := [n for n in names if n not in found]:
+        raise ValueError(f"unknown samples: {unknown[:5]}")
+    return spark.createDataFrame([(i, n) for i, n in enumerate(names)], schema=f"rank int, {name} {samples.schema[name].dataType.simpleString()}")
 
 
 def sample_project(calls: DataFrame, asked: DataFrame, name: str = "sample_idx") -> DataFrame:
-    """Calls of the requested samples with their ``rank``; a repeated request repeats them."""
-    side = F.broadcast(asked) if asked.limit(BROADCAST_SAMPLES + 1).count() <= BROADCAST_SAMPLES else asked
-    return calls.join(side, name)
+    """Calls of the requested samples with their ``rank``; a repeated request repeats them.
+
+    The list's size is known to the planner, which broadcasts it if it is small."""
+    return calls.join(asked, name)
 
 
 def drop_genotypes(df: DataFrame, *columns: str) -> DataFrame:

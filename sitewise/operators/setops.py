@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import neighbour
@@ -143,3 +143,8 @@ def site_tags(calls: DataFrame, keys: Sequence[str]) -> DataFrame:
     out = calls.groupBy(*keys).agg(n.alias("ns"), (2 * n).alias("an"), ac.alias("ac"), het.alias("ac_het"), (ac - het).alias("ac_hom"), F.count("*").alias("cells"))
     af = F.col("ac") / F.nullif(F.col("an"), F.lit(0))
     return out.withColumns({"maf": F.round(F.least(af, 1 - af), 6), "f_missing": F.round(1 - F.col("ns") / F.col("cells"), 6)}).drop("cells")
+
+
+def group_tags(calls: DataFrame, keys: Sequence[str], group: Column) -> DataFrame:
+    """The tags of each site within each group of samples."""
+    return site_tags(calls.withColumn("group", group), [*keys, "group"])

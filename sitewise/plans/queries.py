@@ -135,9 +135,9 @@ def ac_an_std(spark, sf_dir):
     return counts.allele_counts(calls(spark, sf_dir), KEYS, compat=False)
 
 
-@query(DUCK_CALLS + _COUNTS + f" GROUP BY chrom, pos HAVING {_AC} BETWEEN 5 AND 40")
+@query(DUCK_CALLS + _COUNTS + f" GROUP BY chrom, pos HAVING {_AC} BETWEEN 12 AND 24")
 def minac_filter(spark, sf_dir):
-    return filters.count_filter(counts.allele_counts(calls(spark, sf_dir), KEYS), 5, 40)
+    return filters.count_filter(counts.allele_counts(calls(spark, sf_dir), KEYS), 12, 24)
 
 
 @query(DUCK_CALLS + _COUNTS + f" GROUP BY chrom, pos HAVING CAST({_AC} / (2.0 * COUNT(*)) AS FLOAT) BETWEEN CAST(0.2 AS FLOAT) AND CAST(0.4 AS FLOAT)")
@@ -160,9 +160,10 @@ def gvcf_block_index(spark, sf_dir):
     return counts.zone_map(ordered.infer_ends(sites(spark, sf_dir), ("chrom",), width=WIDTH), 100, end="end_pos")
 
 
-@query(DUCK_CALLS + "SELECT chrom, pos FROM calls GROUP BY 1, 2 HAVING MAX(CASE WHEN a1 = 0 AND a2 = 0 THEN 0 ELSE 1 END) = 0")
+@query(DUCK_CALLS + "SELECT chrom, pos, ln FROM calls GROUP BY 1, 2, 3 HAVING MAX(CASE WHEN a1 = 0 AND a2 = 0 THEN 0 ELSE 1 END) = 0")
 def ref_only_sites(spark, sf_dir):
-    return counts.ref_only(calls(spark, sf_dir), KEYS)
+    """A site is a position and a line number here: over a whole position no row is reference alone."""
+    return counts.ref_only(calls(spark, sf_dir), ("chrom", "pos", "ln"))
 
 
 @query(DUCK_CALLS + ", r AS (SELECT chrom, pos, string_agg(CAST(sample_idx AS VARCHAR) || ':' || CAST(a1 AS VARCHAR) || ':' || CAST(a2 AS VARCHAR), ',' ORDER BY sample_idx) AS row FROM calls GROUP BY 1, 2), m AS (SELECT row, MIN(pos) AS copy_of FROM r GROUP BY 1)\nSELECT chrom, pos, copy_of FROM r JOIN m USING (row) WHERE pos > copy_of")

@@ -1,6 +1,6 @@
 import pytest
 
-from sitewise.plans.queries import ORACLE, QUERIES
+from sitewise.plans import ORACLE, QUERIES
 from tests.oracle import connect, difference
 
 
