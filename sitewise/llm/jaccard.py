@@ -28,6 +28,9 @@ STEP = 16
 #: Members of a block of a large bucket, and characters of text in it.
 BLOCK, BLOCK_CHARS = 1024, 4_000_000
 
+#: Bytes of a long text that are cut into shingles at a time.
+PIECE = 1 << 20
+
 _SPACE = bytes((9, 10, 11, 12, 13, 32))
 
 
@@ -106,8 +109,32 @@ def shingle_hashes(texts: list[bytes]):
     return _mix(h), count
 
 
-def signatures(hashes, counts):
-    """Bands of each text with shingles: array (texts, BANDS) of 64-bit integers."""
+def pieces(text: bytes) -> Iterator[bytes]:
+    """A long text in parts of about ``PIECE`` bytes that have all its shingles and no others.
+
+    Parts end between words, and each begins with the last words of the one before. A part with
+    fewer words than a shingle is joined to the next.
+    """
+    import re
+
+    gap, at, held = re.compile(rb"[\x20\x09-\x0d]"), 0, b""
+    while at < len(text):
+        found = gap.search(text, at + PIECE)
+        end = found.start() if found else len(text)
+        part, at = held + b" " + text[at:end], end
+        words = part.rsplit(None, WORDS)
+        if at < len(text):
+            if len(words) <= WORDS and len(part.split(None, WORDS)) < WORDS:
+                held = part
+                continue
+            if not text[at:].strip(_SPACE):  # nothing but white space is left
+                at = len(text)
+        yield part
+        held = b" ".join(words[-(WORDS - 1) :])
+
+
+def minima(hashes, counts):
+    """The least of each of ``VALUES`` hash functions over the shingles of each text that has any."""
     import numpy as np
 
     some = counts > 0
@@ -121,7 +148,23 @@ def signatures(hashes, counts):
         np.add(buf, b[k], out=buf)
         if len(starts):
             out[k] = np.minimum.reduceat(buf, starts)
-    low = ((out * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
+    return out, some
+
+
+def signatures(texts: list[bytes]):
+    """Bands of each text with shingles: array (texts, BANDS) of 64-bit integers; and which have any.
+
+    A text longer than a piece must be alone; its pieces are hashed one after another.
+    """
+    import numpy as np
+
+    if len(texts) == 1 and len(texts[0]) > PIECE:
+        parts = [minima(*shingle_hashes([p]))[0] for p in pieces(texts[0])]
+        least = np.minimum.reduce([p for p in parts if p.shape[1]] or [np.empty((VALUES, 0), np.uint32)])
+        some = np.array([least.shape[1] > 0])
+    else:
+        least, some = minima(*shingle_hashes(texts))
+    low = ((least * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
     return np.ascontiguousarray(low.T).view(np.int64), some
 
 
@@ -140,12 +183,12 @@ def _sketch(docs: DataFrame) -> DataFrame:
             node = [hashlib.sha256(t).digest()[:16] for t in texts]
             bands: list = [None] * len(texts)
             i = 0
-            while i < len(texts):  # about 2 MB at a time; a longer text alone
+            while i < len(texts):  # about a piece at a time; a longer text alone
                 j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) < 2_000_000):
+                while j < len(texts) and (j == i or size + len(texts[j]) < PIECE):
                     size += len(texts[j])
                     j += 1
-                sig, some = signatures(*shingle_hashes(texts[i:j]))
+                sig, some = signatures(texts[i:j])
                 for k, s in zip(np.flatnonzero(some), sig):
                     bands[i + int(k)] = s
                 i = j
@@ -261,11 +304,19 @@ def shingle_set(text: str, known: dict) -> frozenset:
     return frozenset(known.setdefault(" ".join(w[i : i + WORDS]), len(known)) for i in range(max(1, len(w) - WORDS + 1)))
 
 
+def shingle_array(text: str):
+    """The distinct shingles of a long text in order, as 64-bit hashes: eight bytes each."""
+    import numpy as np
+
+    return np.unique(np.concatenate([np.unique(shingle_hashes([p])[0]) for p in pieces(text.encode())] or [np.empty(0, np.uint64)]))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Exact links: rows (a, b, links, docs), where b is null in rows that count links of a.
 
     ``texts`` has node, text and copies. A task gets the texts of its block once each. Rows
-    with b are a spanning forest of the task's links, enough for components.
+    with b are a spanning forest of the task's links, enough for components. Shingles are
+    compared as they are; if one text of a pair is longer than a piece, by 64-bit hashes.
     """
     need = pairs.select("task", F.explode("needs").alias("node")).distinct()
     give = need.join(texts, "node").select("task", F.lit(0).alias("kind"), "node", "text", "copies", F.lit(None).cast("array<binary>").alias("rights"))
@@ -277,7 +328,20 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
         for _, rows in _grouped(batches, ["task", "kind", "node", "text", "copies", "rights"]):
             known: dict[str, int] = {}
-            sets, copies, links, docs, parent = {}, {}, {}, {}, {}
+            sets, arrays, copies, links, docs, parent = {}, {}, {}, {}, {}, {}
+            long = {r[2] for r in rows if r[1] == 0 and len(r[3] or "") > PIECE}
+            whole = {r[2]: r[3] or "" for r in rows if r[1] == 0} if long else {}
+
+            def overlap(a, b):
+                """(common shingles, shingles of both lists)"""
+                if a not in long and b not in long:  # noqa: B023
+                    return len(sets[a] & sets[b]), len(sets[a]) + len(sets[b])  # noqa: B023
+                import numpy as np
+
+                for x in (a, b):
+                    if x not in arrays:  # noqa: B023
+                        arrays[x] = shingle_array(whole[x])  # noqa: B023
+                return len(np.intersect1d(arrays[a], arrays[b], assume_unique=True)), len(arrays[a]) + len(arrays[b])  # noqa: B023
 
             def root(x):
                 while parent[x] != x:  # noqa: B023
@@ -287,13 +351,13 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
             for _, kind, node, text, n, rights in rows:
                 if kind == 0:
-                    sets[node], copies[node], links[node], docs[node], parent[node] = shingle_set(text or "", known), n, 0, 0, node
+                    copies[node], links[node], docs[node], parent[node] = n, 0, 0, node
+                    if node not in long:
+                        sets[node] = shingle_set(text or "", known)
                     continue
-                a = sets[node]
                 for other in rights:
-                    b = sets[other]
-                    common = len(a & b)
-                    if common >= LEAST * (len(a) + len(b) - common) - 1e-9:
+                    common, both = overlap(node, other)
+                    if common >= LEAST * (both - common) - 1e-9:
                         links[node] += 1
                         links[other] += 1
                         docs[node] += copies[other]
@@ -347,19 +411,21 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     Equal texts are joined first, by digest. Different texts that share a band are compared
     by MinHash values, 16 at a time, until the posterior falls below the tolerance; what is
     left is verified on the shingles themselves. Texts without words (null, empty, blank)
-    link to nothing and are classes of their own, row by row. Null ids sort first. Repeated
-    rows are copies of each other. An empty table gives an empty result.
+    link to nothing and are classes of their own, row by row. The least id is the least that is
+    not null; it is null where all ids of the class are. Repeated rows are copies of each other.
+    Long texts are read in pieces. An empty table gives an empty result.
     """
     rows = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t"))
     sketch = stored(_sketch(rows), "sketch")
     worded = sketch.filter("__bands is not null")
-    nodes = worded.groupBy(F.col("__node").alias("node")).agg(F.min("__id").alias("rep"), F.count("*").alias("copies"), F.first("__chars").alias("chars"))
-    firsts = worded.join(nodes, (F.col("__node") == F.col("node")) & F.col("__id").eqNullSafe(F.col("rep"))).withColumnRenamed("__bands", "bands")
-    firsts = stored(firsts.dropDuplicates(["node"]).select("node", "rep", "copies", "chars", "bands"), "nodes")
+    # equal texts have equal bands: any row's will do, and copies are counted before they are shuffled
+    firsts = worded.groupBy(F.col("__node").alias("node")).agg(F.min("__id").alias("rep"), F.count("*").alias("copies"), F.first("__chars").alias("chars"), F.first("__bands").alias("bands"))
+    firsts = stored(firsts, "nodes")
     pairs = stored(_candidates(firsts), "pairs")
     wanted = pairs.select(F.explode("needs").alias("node")).distinct().join(firsts.select("node", "rep", "copies"), "node")
-    texts = rows.join(wanted, F.col("__id").eqNullSafe(F.col("rep"))).select("node", F.col("__t").alias("text"), "copies")
-    texts = texts.filter(F.substring(F.unhex(F.sha2("text", 256)), 1, 16) == F.col("node")).dropDuplicates(["node"])
+    digest = F.substring(F.unhex(F.sha2("__t", 256)), 1, 16)
+    texts = rows.withColumn("__node", digest).join(wanted, (F.col("__node") == F.col("node")) & F.col("__id").eqNullSafe(F.col("rep")))
+    texts = texts.select("node", F.col("__t").alias("text"), "copies").dropDuplicates(["node"])
     links = stored(_verified(pairs, texts), "links")
     degree = links.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"), F.sum("docs").alias("n_linked_docs"))
     label = components(links.filter("b is not null").select("a", "b"))

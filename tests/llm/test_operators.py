@@ -264,6 +264,48 @@ def test_similar_documents(spark, docs, nothing, monkeypatch):
     assert jaccard.similar_documents(nothing).count() == 0
 
 
+def test_null_ids_and_repeated_rows_link_like_others(spark):
+    rng = random.Random(15)
+    base = [f"w{i}" for i in range(60)]
+    near = lambda: " ".join(w + "x" * (i == 30 + rng.randrange(3)) for i, w in enumerate(base))
+    rows = [(None, near()) for _ in range(40)] + [(None, " ".join(base))] * 30 + [(5, " ".join(base)), (5, "other words of another row here now"), (4, near())]
+    got = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and Counter(r.class_id for r in got) == {4: 72, 5: 1}
+    numbered = sorted(brute_force([(k, t) for k, (_, t) in enumerate(rows)]))
+    assert sorted((r.n_copies, r.n_links, r.n_linked_docs) for r in got) == sorted(r[3:] for r in numbered)
+
+
+def test_pieces_have_all_shingles(monkeypatch):
+    rng = random.Random(16)
+    for size in (30, 57, 400):
+        monkeypatch.setattr(jaccard, "PIECE", size)
+        for n in (0, 1, 3, 4, 5, 6, 40, 300):
+            text = "".join(rng.choice(" \t\n\x0b") * rng.randrange(1, 4) + "wé" * rng.randrange(1, 30 if n < 6 else 8) + str(rng.randrange(9)) for _ in range(n)) + " " * rng.randrange(70)
+            raw = text.encode()
+            whole = jaccard.shingle_hashes([raw])[0]
+            assert set(jaccard.shingle_array(text).tolist()) == set(whole.tolist())
+            sig, some = jaccard.signatures([raw])
+            monkeypatch.setattr(jaccard, "PIECE", 1 << 20)
+            want, has = jaccard.signatures([raw])
+            monkeypatch.setattr(jaccard, "PIECE", size)
+            assert (some == has).all() and (sig == want).all()
+
+
+def test_long_texts_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PIECE", 3000)
+    words = [f"long{i * 7919 % 3001}" for i in range(900)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:880])), (3, " ".join(words[:300])), (4, " ".join(words[:290])), (5, " ".join(words[450:]))]
+    # one process runs the tests: forked workers have the smaller piece too
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 1), 4: (3, 1), 5: (5, 0)}
+
+
+def test_no_link_of_the_documents_is_lost(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = sorted(tuple(r) for r in queries.op10_jaccard_join(spark, sf_dir).collect())
+    assert got == sorted(brute_force(rows) + [(i, i, i, 1, 0, 0) for i, t in rows if not (t or "").strip(" \t\n\r\x0b\x0c")])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, x) for x in range(501, 560)] + [(900, 900)]
     df = spark.createDataFrame(edges, "a long, b long")
