@@ -64,8 +64,8 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(x,) for x in urls.LISTED], "key string")
-    return urls.judge_urls(table(spark, sf_dir, "pages"), listed)
+    rows = ", ".join(f"('{x}')" for x in urls.LISTED)
+    return urls.judge_urls(table(spark, sf_dir, "pages"), spark.sql(f"SELECT key FROM VALUES {rows} AS t(key)"))
 
 
 def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
+#: Bits that the levels of a cascade may have: what is sent to every executor stays under 128 MB.
+MOST_BITS = 1 << 30
+
 #: (verdict, host, path): a rule fits its host and all subdomains below the path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
@@ -31,10 +34,9 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffixes(host: Column) -> Column:
-    """The host and each of its parent domains, longest first."""
-    labels = F.split(host, r"\.", -1)
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def suffixes(host: Column, labels: int) -> list[Column]:
+    """The last 1, 2, ... ``labels`` labels of a host; a host with fewer is its own suffix."""
+    return [F.substring_index(host, ".", -k) for k in range(1, labels + 1)]
 
 
 def _fits(host: Column, path: Column, rule: tuple[str, str, str]) -> Column:
@@ -51,10 +53,14 @@ def _first(rules, host: Column, path: Column, value) -> Column:
 
 
 class Level:
-    """One Bloom filter: a bit array as 64-bit words, and its number of hash functions."""
+    """One Bloom filter: a bit array, as a stored table of one row with 64-bit words, and its number of hash functions.
+
+    An expression takes the words from the table by a scalar subquery, which runs once; no word
+    passes through this process or the text of a plan.
+    """
 
-    def __init__(self, words: list[int], hashes: int, seed: int):
-        self.words, self.hashes, self.seed = words, hashes, seed
+    def __init__(self, words: DataFrame, bits: int, hashes: int, seed: int):
+        self.words, self.bits, self.hashes, self.seed = words, bits, hashes, seed
 
     @staticmethod
     def places(key: Column, bits: int, hashes: int, seed: int) -> list[Column]:
@@ -64,20 +70,20 @@ class Level:
     def of(cls, keys: DataFrame, n: int, rate: float, seed: int) -> Level:
         """Filter of the ``n`` keys in column ``key``; its bits are set by a distributed ``bit_or``."""
         bits = max(64, math.ceil(n * math.log(1 / rate) / math.log(2) ** 2 / 64) * 64)
-        hashes = max(1, round(bits / max(n, 1) * math.log(2)))
-        hashes = min(hashes, 16)
+        if bits > MOST_BITS:
+            raise ValueError(f"a level of {bits} bits for {n} keys is beyond {MOST_BITS}")
+        hashes = min(max(1, round(bits / max(n, 1) * math.log(2))), 16)
         at = keys.select(F.explode(F.array(*cls.places(F.col("key"), bits, hashes, seed))).alias("at"))
-        words = at.groupBy(F.expr("at div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("b"))
-        out = [0] * (bits // 64)
-        for r in words.collect():  # bits / 64 rows at most: bounded by the listed keys
-            out[r.w] = r.b
-        return cls(out, hashes, seed)
+        some = at.select(F.expr("at div 64").alias("w"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("b"))
+        none = keys.sparkSession.range(bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("b"))
+        words = some.unionByName(none).groupBy("w").agg(F.bit_or("b").alias("b"))
+        row = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("words"))
+        return cls(stored(row, "level"), bits, hashes, seed)
 
     def has(self, key: Column) -> Column:
-        # one literal string that the optimizer folds into a constant array
-        words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
+        words = self.words.select("words").scalar()
         test = F.lit(True)
-        for at in self.places(key, len(self.words) * 64, self.hashes, self.seed):
+        for at in self.places(key, self.bits, self.hashes, self.seed):
             test = test & (F.getbit(F.get(words, F.shiftright(at, 6).cast("int")), (at % 64).cast("int")) == 1)
         return test
 
@@ -88,8 +94,8 @@ class Cascade:
     Level 0 holds the listed keys; level 1 the keys of the universe that level 0 takes
     for listed by mistake; level 2 the listed keys that level 1 takes for such mistakes;
     and so on until a level makes none. A key is listed if the number of levels that hold
-    it, counted from level 0 to the first that does not, is odd. There is no join: the
-    filters are constants of one expression.
+    it, counted from level 0 to the first that does not, is odd. There is no join, neither to
+    build the levels nor to ask them: the filters are constants of one expression.
     """
 
     def __init__(self, levels: list[Level]):
@@ -104,7 +110,7 @@ class Cascade:
 
     @property
     def bits(self) -> int:
-        return sum(len(x.words) * 64 for x in self.levels)
+        return sum(x.bits for x in self.levels)
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame, most_levels: int = 64) -> Cascade:
@@ -115,11 +121,13 @@ def build_cascade(listed: DataFrame, universe: DataFrame, most_levels: int = 64)
     with r log(s / r), not with the universe. Null keys must be filtered out before.
     An empty list gives a cascade without levels, which holds no key.
     """
-    r = listed.count()
+    inside = stored(listed, "listed")
+    r = inside.count()
     if not r:
         return Cascade([])
-    inside = stored(listed, "listed")
-    outside = stored(universe.join(listed, "key", "left_anti"), "unlisted")
+    # one aggregation over both sets: keys of the universe that are not listed
+    both = universe.select("key", F.lit(0).alias("in")).unionByName(inside.select("key", F.lit(1).alias("in")))
+    outside = stored(both.groupBy("key").agg(F.max("in").alias("in")).filter("in = 0").select("key"), "unlisted")
     s = max(1, outside.count())
     rate = min(0.5, r / (s * math.sqrt(2)))
     levels: list[Level] = []
@@ -144,11 +152,18 @@ def judge_urls(pages: DataFrame, listed: DataFrame, url: str = "url", page_id: s
     rule and is allowed. Repeated rows give repeated results; an empty table gives none.
     """
     rows = pages.select(F.col(page_id), F.col(url).alias("__u")).select(page_id, host_of(F.col("__u")).alias("host"), path_of(F.col("__u")).alias("path"))
-    hosts = rows.select("host").distinct()
-    universe = hosts.select(F.explode(suffixes(F.col("host"))).alias("key")).distinct()
-    cascade = build_cascade(listed.select("key").filter("key is not null").distinct(), universe)
+    keys = listed.select("key").filter("key is not null").distinct()
+    # a suffix with more labels than any listed key is not listed
+    labels = keys.agg(F.max(F.size(F.split("key", r"\.", -1)))).first()[0] or 0
     host, path = F.col("host"), F.col("path")
-    rows = rows.withColumn("listed", F.exists(suffixes(host), cascade.has) if cascade.levels else F.lit(False))
+    found = F.lit(False)
+    if labels:
+        hosts = rows.select("host").distinct()
+        universe = hosts.select(F.explode(F.array(*suffixes(host, labels))).alias("key")).distinct()
+        cascade = build_cascade(keys, universe)
+        for key in suffixes(host, labels):
+            found = found | cascade.has(key)
+    rows = rows.withColumn("listed", found)
     return rows.select(
         page_id, "host", "path", _first(rules, host, path, lambda r: r[1] + r[2]).alias("rule"),
         F.coalesce(_first(rules, host, path, lambda r: r[0]), F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed",
