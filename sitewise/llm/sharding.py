@@ -91,6 +91,7 @@ def assign_shards(df: DataFrame, key: str = "doc_id", shards: int = 8, text: str
     counts = counts.select("shard", "__c", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
     inside = W.partitionBy("shard", "__c").orderBy("__k", "size", "text_crc32")
     rows = rows.withColumn("__i", F.row_number().over(inside) - 1)
-    return rows.join(F.broadcast(counts), ["shard", "__c"]).select(
+    # the window has dealt the rows by the keys of this join; no side is forced to be sent to all
+    return rows.join(counts, ["shard", "__c"]).select(
         F.col("__k").alias(key), "size", "text_crc32", "shard", (F.col("__first") + F.col("__i")).cast("bigint").alias("slot"), "grown_shard"
     )

@@ -186,7 +186,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     empty table gives an empty manifest. Memory: one batch of texts and one of sequences.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # rows with equal ids are dealt by a hash of their texts as well, so that no id is one task
+    rows = rows.withColumn("__h", F.xxhash64("text")).repartitionByRange("doc_id", "__h").sortWithinPartitions("doc_id", "__h").drop("__h")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

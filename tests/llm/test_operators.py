@@ -105,6 +105,23 @@ def test_cascade_is_exact(spark):
     assert not urls.build_cascade(listed.limit(0), universe).levels
 
 
+def test_cascade_of_many_keys(spark):
+    """A fifth of a million keys is listed; every answer is right, and the plan's text does not hold the bits."""
+    universe = spark.range(1_000_000).select(F.concat(F.lit("host"), F.col("id"), F.lit(".example")).alias("key"))
+    listed = spark.range(0, 1_000_000, 5).select(F.concat(F.lit("host"), F.col("id"), F.lit(".example")).alias("key"))
+    cascade = urls.build_cascade(listed, universe)
+    found = spark.range(1_000_000).select("id", F.concat(F.lit("host"), F.col("id"), F.lit(".example")).alias("key")).select("id", cascade.has(F.col("key")).alias("x"))
+    assert found.filter(F.col("x") != (F.col("id") % 5 == 0)).count() == 0
+    assert len(cascade.levels) > 5 and len(found._jdf.queryExecution().optimizedPlan().toString()) < 200_000
+
+
+def test_cascade_size_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(urls, "MOST_BITS", 64)
+    keys = spark.range(100).select(F.col("id").cast("string").alias("key"))
+    with pytest.raises(ValueError, match="beyond"):
+        urls.build_cascade(keys.limit(50), keys)
+
+
 def test_urls(spark):
     cases = {
         None: ("", "", None, "allow"), "no scheme": ("", "", None, "allow"), "http://A.NET/x": ("a.net", "/x", "net/", "block"),
@@ -205,6 +222,86 @@ def test_audio_damage():
     assert audio.parse(b"")["offsets"] == [] and audio.parse(b"\xff" * 1000)["offsets"] == []
 
 
+def bits_of(text):
+    return int(text, 2).to_bytes(len(text) // 8, "big")
+
+
+def plain_crc(bits):
+    """The remainder of the checksum, a bit at a time."""
+    c = 0xFFFF
+    for b in bits:
+        c = (c << 1) ^ (0x8005 if (c >> 15 & 1) ^ int(b) else 0)
+        c &= 0xFFFF
+    return c
+
+
+def protected(head, allocation, covered, size):
+    """A frame of ``size`` bytes: header, checksum over the header's second half and ``covered`` bits, then the allocation."""
+    crc = plain_crc("".join(f"{b:08b}" for b in head[2:4]) + covered)
+    body = allocation + "0" * (-len(allocation) % 8)
+    return (head + crc.to_bytes(2, "big") + bits_of(body)).ljust(size, b"\x11")
+
+
+def test_checksums_of_layers_one_and_two():
+    rng = random.Random(17)
+    # layer I, 44 100 Hz, 128 kbit/s, joint stereo from subband 8 on: 8 * 2 + 24 fields of four bits
+    head = bytes((0xFF, 0xFE, 0x40, 0x50))
+    alloc = "".join(rng.choice("01") for _ in range(4 * 40))
+    one = protected(head, alloc, alloc, (12000 * 128 // 44100) * 4)
+    x = audio.parse(one * 3)
+    assert (x["layer"], len(x["offsets"]), x["crc_good"], x["crc_bad"], x["samples"]) == (1, 3, 3, 0, 1152)
+    # layer II, 48 000 Hz, 64 kbit/s, one channel: 27 subbands, and two bits for each that is used
+    head = bytes((0xFF, 0xFC, 0x44, 0xC0))
+    fields = [(4, rng.randrange(16)) for _ in range(11)] + [(3, rng.randrange(8)) for _ in range(12)] + [(2, rng.randrange(4)) for _ in range(4)]
+    alloc = "".join(f"{v:0{n}b}" for n, v in fields)
+    choice = "".join(rng.choice("01") for _ in range(2 * sum(v > 0 for _, v in fields)))
+    two = protected(head, alloc + choice, alloc + choice, 144 * 64000 // 48000)
+    x = audio.parse(two * 4)
+    assert (x["layer"], len(x["offsets"]), x["crc_good"], x["crc_bad"], x["channels"]) == (2, 4, 4, 0, 1)
+    broken = bytearray(two)
+    broken[7] ^= 4
+    assert audio.parse(two + bytes(broken) + two)["crc_bad"] == 1
+    # layer II of MPEG-2 at 16 000 Hz, 32 kbit/s, two channels: 30 subbands
+    head = bytes((0xFF, 0xF4, 0x48, 0x00))
+    fields = [(n, rng.randrange(1 << n)) for count, n in ((4, 4), (7, 3), (19, 2)) for _ in range(2 * count)]
+    alloc = "".join(f"{v:0{n}b}" for n, v in fields)
+    choice = "".join(rng.choice("01") for _ in range(2 * sum(v > 0 for _, v in fields)))
+    low = protected(head, alloc + choice, alloc + choice, 144 * 32000 // 16000)
+    x = audio.parse(low * 2)
+    assert (x["version"], x["rate"], x["crc_good"], x["crc_bad"]) == ("2", 16000, 2, 0)
+
+
+def test_free_format_and_low_rates():
+    head = bytes((0xFF, 0xFB, 0x00, 0xC0))
+    frame = head + bytes(17) + bytes(300 - 21)
+    padded = bytes((0xFF, 0xFB, 0x02, 0xC0)) + bytes(17) + bytes(301 - 21)
+    x = audio.parse(frame + padded + frame + frame)
+    assert x["offsets"] == [0, 300, 601, 901] and x["samples"] == 4 * 1152 and x["skipped"] == 0
+    # MPEG-2.5, layer III, 8 000 Hz, 8 kbit/s, one channel: 576 samples a frame
+    low = bytes((0xFF, 0xE3, 0x18, 0xC0)).ljust(72, b"\0")
+    x = audio.parse(low * 5)
+    assert (x["version"], x["rate"], x["samples"], len(x["offsets"])) == ("2.5", 8000, 5 * 576, 5)
+
+
+def test_tables_and_tags():
+    frame = bytes((0xFF, 0xFB, 0x90, 0x00)).ljust(417, b"\0")
+    xing = bytes((0xFF, 0xFB, 0x90, 0x00)) + bytes(32) + b"Info" + (15).to_bytes(4, "big") + (3).to_bytes(4, "big") + (4096).to_bytes(4, "big") + bytes(range(100)) + (57).to_bytes(4, "big") + b"LAME3.100".ljust(21, b"\0") + (576 << 12 | 1000).to_bytes(3, "big")
+    v1 = b"TAG" + b"A title".ljust(30, b"\0") + b"Someone".ljust(30) + bytes(30) + b"1999" + b"note".ljust(28, b"\0") + b"\0\x07" + b"\x11"
+    x = audio.parse(xing.ljust(417, b"\0") + frame * 3 + v1)
+    t = x["table"]
+    assert (t["frames"], t["quality"], t["delay"], t["padding"], t["seek"][50]) == (3, 57, 576, 1000, 50 * 4096 // 256)
+    assert {k: v for k, v in x["tags"].items()} == {"v1:title": "A title", "v1:artist": "Someone", "v1:year": "1999", "v1:comment": "note", "v1:track": "7", "v1:genre": "17"}
+    vbri = bytes((0xFF, 0xFB, 0x90, 0x00)) + bytes(32) + b"VBRI" + bytes((0, 1, 0, 0, 0, 75)) + (9000).to_bytes(4, "big") + (3).to_bytes(4, "big") + b"".join(n.to_bytes(2, "big") for n in (3, 10, 2, 1, 41, 42, 40))
+    t = audio.parse(vbri.ljust(417, b"\0") + frame * 3)["table"]
+    assert (t["kind"], t["bytes"], t["frames"], t["quality"], t["seek"]) == ("VBRI", 9000, 3, 75, [410, 830, 1230])
+    old = b"TT2" + (6).to_bytes(3, "big") + b"\0Short" + b"TXX" + (10).to_bytes(3, "big") + b"\0key\0value"
+    tag = b"ID3\x02\0\0" + bytes((0, 0, 0, len(old))) + old
+    assert audio.parse(tag + frame * 2)["tags"] == {"TT2": "Short", "TXXX:key": "value"}
+    spread = b"TIT2" + (7).to_bytes(4, "big") + b"\0\0" + b"\0a\xff\0bcd\xff\0"
+    tag = b"ID3\x03\0\x80" + bytes((0, 0, 0, len(spread))) + spread
+    assert audio.parse(tag + frame * 2)["tags"] == {"TIT2": "a\xffbcd\xff"}
+
+
 def test_audio_columns(docs, nothing):
     out = audio.read_audio(audio.text_to_audio(docs.select("doc_id", "text", F.lit(1).alias("info")))).collect()
     for r in out:
