@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -630,3 +632,156 @@ def test_threshold_has_the_best_f1():
         y[0] = 1
         f1 = lambda t: 2 * y[z >= t].sum() / ((z >= t).sum() + y.sum())  # noqa: E731, B023
         assert f1(toxicity._threshold(z, y)) == pytest.approx(max(f1(t) for t in z))
+
+
+# --- brute force -----------------------------------------------------------
+
+
+def plain_vector(text):
+    """Hashed counts of letter pairs and triples, one n-gram at a time."""
+    code, mask = [0], (1 << 32) - 1
+    for ch in (text or "").lower():
+        if ch.isalpha():
+            code.append(ord(ch))
+        elif code[-1]:
+            code.append(0)
+    if code[-1]:
+        code.append(0)
+    place = lambda h: (((h ^ (h >> 15)) & mask) * 0x2C1B3C6D & mask) >> 20
+    out = Counter()
+    for i in range(len(code) - 1):
+        pair = (code[i] * 0x9E3779B1 + code[i + 1] * 0x85EBCA6B) & mask
+        if code[i] or code[i + 1]:
+            out[place(pair)] += 1
+        if i + 2 < len(code) and code[i + 1]:
+            out[place((pair + code[i + 2] * 0xC2B2AE35 + 0x165667B1) & mask)] += 1
+    return out
+
+
+def unit(counts, idf):
+    v = {k: math.log1p(n) * idf[k] for k, n in counts.items()}
+    size = math.sqrt(sum(x * x for x in v.values())) or 1.0
+    return {k: x / size for k, x in v.items()}
+
+
+def test_language_by_brute_force(spark, docs):
+    rng = random.Random(18)
+    syllables = {"aa": ("ba", "do", "ki"), "bb": ("schu", "ter", "oß"), "cc": ("lé", "qui", "ou")}
+    rows = [(i, "".join(rng.choice(syllables[la]) + rng.choice(("", " ", ", ")) for _ in range(rng.randrange(20, 60))), la) for i, la in enumerate(rng.choice(sorted(syllables)) for _ in range(90))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit_centroids(df, clusters=1)
+    counts_ = [plain_vector(t) for _, t, _ in rows]
+    held = Counter(k for c in counts_ for k in c)
+    idf = defaultdict(lambda: math.log(1 + len(rows)) + 1, {k: math.log((1 + len(rows)) / (1 + n)) + 1 for k, n in held.items()})
+    centroids, limits = {}, {}
+    for la in syllables:
+        own = [unit(c, idf) for c, (_, _, x) in zip(counts_, rows) if x == la]
+        total = Counter()
+        for v in own:
+            total.update(v)
+        size = math.sqrt(sum(x * x for x in total.values()))
+        centroids[la] = {k: x / size for k, x in total.items()}
+        cosines = sorted(sum(x * centroids[la].get(k, 0) for k, x in v.items()) for v in own)
+        limits[la] = 0.5 * float(np.quantile(cosines, 0.005))
+    texts_ = [t for _, t in texts(docs)] + [t[:15] for _, t, _ in rows[:20]] + ["baba schuter léqui", "zzzz", "1234"]
+    for t, (la, cosine, rejected) in zip(texts_, model.predict(texts_)):
+        v = unit(plain_vector(t), idf)
+        if not v:
+            assert (la, cosine, rejected) == ("und", 0.0, True)
+            continue
+        of = {x: sum(y * centroids[x].get(k, 0) for k, y in v.items()) for x in centroids}
+        best = max(of, key=of.get)
+        assert cosine == pytest.approx(min(1, of[best]), abs=1e-4)
+        if sorted(of.values())[-1] - sorted(of.values())[-2] > 1e-4:
+            assert la == best and (rejected == (of[best] < limits[best]) or abs(of[best] - limits[best]) < 1e-4)
+
+
+def features_of(t):
+    """All features of the quality rules, counted plainly."""
+    n, chars, symbols, dups, repeats = counts(t)
+    joined = "".join(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    lines = len([x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])
+    upper = sum(unicodedata.category(c) == "Lu" for c in joined)
+    return {
+        "symbol_ratio": symbols / max(chars, 1), "upper_ratio": upper / max(chars, 1), "digit_ratio": len(re.findall("[0-9]", joined)) / max(chars, 1),
+        "mean_word": chars / max(n, 1), "repeat_ratio": repeats / max(n, 1), "dup_line_ratio": dups / max(lines, 1), "n_words": float(n),
+    }, n < 10 or 100 * repeats > 20 * n
+
+
+def verdict(t, rules):
+    row, failed = features_of(t)
+    return 0 if failed else next((i for i, r in enumerate(rules, 1) if r.holds(row)), None)
+
+
+def test_verdicts_match_rules(spark, docs, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    df = table.union(docs.select("doc_id", "text"))
+    planted = [quality.Rule((quality.Test("n_words", False, 100.0), quality.Test("upper_ratio", True, 0.01))), quality.Rule((quality.Test("mean_word", False, 5.0),)), quality.Rule((quality.Test("digit_ratio", True, 0.001), quality.Test("dup_line_ratio", False, 0.5)))]
+    for rules in (planted, quality.fit_rules(table, spark.read.parquet(f"{sf_dir}/labels.parquet"))):
+        got = quality.judge_quality(df, rules).select("text", "rule_no", "kept", "base_failed").collect()
+        assert len(got) == df.count()
+        for r in got:
+            assert r.rule_no == verdict(r.text, rules) and r.kept == (r.rule_no is None) and r.base_failed == (r.rule_no == 0)
+    assert {r.rule_no for r in quality.judge_quality(df, planted).collect()} >= {None, 0, 1, 2}
+
+
+def test_media_digests(spark, docs, tmp_path):
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    got = Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) for r in queries.op8_mpeg_audio(spark, str(tmp_path)).collect())
+    want = Counter()
+    for i, t in texts(docs):
+        raw = (t or "").encode()
+        payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        media = audio.pack(payload, str(len(raw)))
+        x = audio.parse(media)
+        starts = [m for m in x["offsets"]]
+        seek = zlib.crc32(",".join(map(str, starts)).encode())
+        frames = -(-len(payload) // (audio.header(bytes((0xFF, 0xFA, 0xE0, 0))).size - audio.HEAD))
+        assert len(starts) == frames and all(media[k : k + 2] == b"\xff\xfa" for k in starts)
+        feature = f"mpeg1 layer3 44100Hz 2ch frames={frames}/{frames} samples={1152 * frames} us={1152 * frames * 1_000_000 // 44100} crc={frames + 1}/{frames + 1} skipped=0 seek={seek:08x}"
+        want[i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature] += 1
+    assert got == want
+
+
+def test_very_long_text(spark, tmp_path):
+    """A text of 2.4 million characters goes whole through every operator, beside short ones."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(19)
+    vocab = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéß") for _ in range(rng.randrange(2, 9))) for _ in range(4000)]
+    long = "\n".join(" ".join(rng.choice(vocab) for _ in range(12)) for _ in range(33_000)) + " the end"
+    df = spark.createDataFrame([(1, "a short text of a few words for company here"), (2, long), (3, None)], "doc_id long, text string")
+    n = len(long.split())
+    row = quality.judge_quality(df, []).filter("doc_id = 2").first()
+    assert (row.n_words, row.word_chars, row.n_dup_lines, row.n_repeat_words) == (lambda c: (c[0], c[1], c[3], c[4]))(counts(long))
+    assert {r.doc_id: r.n_tokens for r in mixing.score_domains(df, mixing.Classifier(["a", "b"], [0.0, 0.0])).collect()} == {1: 10, 2: n, 3: 0}
+    got = {r.doc_id: r for r in bpe.bpe_round_trip(df, P.path("byte_bpe_50k.json")).collect()}
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert got[2].decoded == long and got[2].ids == lib.encode(long, add_special_tokens=False).ids
+    files = tokenfile.read_token_files(spark, tokenfile.write_token_files(df, f"file://{tmp_path}/t", P.path("word_bpe_49k.json"))).collect()
+    words = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    assert {r.doc_id: r.n_tokens for r in files}[2] == len(words.encode(long, add_special_tokens=False).ids) + 1
+    media = audio.read_audio(audio.text_to_audio(df)).filter("doc_id = 2").first().info
+    assert bytes(media.body[: len(long.encode())]).decode() == long
+    assert sharding.assign_shards(df).filter("doc_id = 2").first()["size"] == len(long.encode()) + 1
+    scored = {r.doc_id: r for r in toxicity.score_toxicity(df, toxicity.Model(b" SOME TEXT", b" SHORT TEXT", (0.0, 1.0, 0.0, 0.0))).collect()}
+    assert scored[2].n_windows == -(-len(toxicity._WORD.findall(long)) // toxicity.WINDOW) and scored[3].score == 0
+    found = {r.doc_id: r.class_id for r in jaccard.similar_documents(df.union(spark.createDataFrame([(4, long + " more")], df.schema))).collect()}
+    assert found == {1: 1, 2: 2, 3: 3, 4: 2}
+
+
+def test_clashing_columns(spark, docs):
+    """Extra columns with the names of results and of other operators' columns go or stay, as stated, and change nothing."""
+    names = ["n_tokens", "posterior", "saved", "best", "n_windows", "predicted", "rejected", "ids", "decoded", "media", "info", "rule_no", "kept", "n_lines", "shard", "slot"]
+    more = docs.withColumns({c: F.lit("clash") for c in names})
+    plain = docs.select("doc_id", "text")
+    same = lambda f, cols: Counter(map(tuple, f(more).select(*cols).collect())) == Counter(map(tuple, f(plain).select(*cols).collect()))
+    model = mixing.Classifier(["a", "b"], [0.0, 0.5], {"1:the": [1.0, 0.0]})
+    assert same(lambda d: mixing.score_domains(d, model).withColumn("p", F.array_join(F.col("posterior").cast("array<string>"), ",")), ("doc_id", "n_tokens", "p"))
+    assert same(lambda d: toxicity.score_toxicity(d, toxicity.Model(b"x", b" IDIOT")), ("doc_id", "saved", "score", "predicted"))
+    assert same(lambda d: quality.judge_quality(d, []), ("doc_id", "n_words", "kept", "rule_no", "n_lines"))
+    assert same(lambda d: bpe.bpe_round_trip(d, P.path("byte_bpe_50k.json")), ("doc_id", "decoded"))
+    assert same(lambda d: audio.read_audio(audio.text_to_audio(d)).select("doc_id", "info.samples"), ("doc_id", "samples"))
+    assert same(sharding.assign_shards, ("doc_id", "size", "shard", "grown_shard"))
+    assert same(jaccard.similar_documents, ("doc_id", "class_id", "n_links"))
+    assert same(lambda d: langid.identify(d, langid.fit_centroids(docs)), ("doc_id", "lang_pred", "rejected"))

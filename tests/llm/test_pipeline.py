@@ -1,8 +1,14 @@
+import math
+import re
+from collections import Counter, defaultdict
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from sitewise.llm import queries
+from sitewise.llm import langid, mixing, quality, queries
+from tests.llm.test_operators import brute_force, verdict
 from tests.oracle import connect, difference
 
 
@@ -36,6 +42,58 @@ def test_jaccard_keeps_one_row_a_class(spark, sf_dir):
     assert {r.text[0]: r.doc_id for r in out if r.text[0] in "abc"} == {"a": 1, "b": 1, "c": 1}
 
 
+def ids(df):
+    return Counter(r.doc_id for r in df.select("doc_id").collect())
+
+
+def test_stages_match_brute_force(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rules = quality.fit_rules(docs, labels)
+    assert ids(cp.quality_rules(spark, docs, sf_dir)) == Counter(i for i, t in rows if verdict(t, rules) is None)
+    model = langid.fit_centroids(docs)
+    assert ids(cp.language_id(spark, docs, sf_dir)) == Counter(i for (i, _), p in zip(rows, model.predict([t for _, t in rows])) if not p[2])
+    worded = [(i, t) for i, t in rows if re.search(r"[^\x20\x09-\x0D]", t or "")]
+    classes = defaultdict(list)
+    for i, c, *_ in brute_force(worded):
+        classes[c].append(i)
+    blank = [i for i, t in rows if (i, t) not in worded]
+    assert ids(cp.jaccard_join(spark, docs, sf_dir)) == Counter([min(v) for v in classes.values()] + blank)
+    lib = __import__("tokenizers").Tokenizer.from_file(queries._tokenizer("byte_bpe_50k.json"))
+    got = {r.doc_id: r for r in cp.bpe_tokens(spark, docs, sf_dir).collect()}
+    assert all(got[i].ids == lib.encode(t or "", add_special_tokens=False).ids and got[i].round_trip for i, t in rows)
+
+
+def test_mixing_stage_matches_brute_force(spark, sf_dir):
+    """Posteriors, rates and copies of the stage, worked out row by row."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model, mix, scored = mixing.mix_rates(docs, labels, queries.label_domain(), cp.WEIGHTS, lift=cp.LIFT)
+    seen = {r.doc_id: r for r in scored.collect()}
+    share = {r.doc_id: r.u for r in docs.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) / F.lit(float(1 << 20))).alias("u")).collect()}
+    want, totals = Counter(), [0.0] * len(model.domains)
+    for i, r in seen.items():
+        assert sum(r.posterior) == pytest.approx(1)
+        rate = max(0.0, 1 - sum(x * y for x, y in zip(mix.slope, r.posterior)))
+        totals = [a + rate * r.n_tokens * p for a, p in zip(totals, r.posterior)]
+        if n := math.floor(rate + share[i]):
+            want[i] = n
+    assert ids(cp.mix_sources(spark, docs, sf_dir)) == want
+    assert totals == pytest.approx(mix.expected, rel=1e-9) and (not mix.met or totals == pytest.approx(mix.targets, abs=1e-4 * sum(mix.targets)))
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_targets_are_met(spark, sf):
+    """On larger tables the stated shares are reached, for the query and for the pipeline."""
+    folder = Path(f"/root/testdata/sf{sf}")
+    if not folder.exists():
+        pytest.skip("no such tables")
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    for weights, lift in ((queries.WEIGHTS, None), (cp.WEIGHTS, cp.LIFT)):
+        _, mix, _ = mixing.mix_rates(docs, labels, queries.label_domain(), weights, lift=lift)
+        assert mix.met and all(abs(g - t) <= 1e-3 * sum(mix.targets) for g, t in zip(mix.expected, mix.targets))
+
+
 def test_stages_take_empty_tables(spark, sf_dir):
     none = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
