@@ -467,3 +467,77 @@ def canonical_format(spark, sf_dir):
 def pl2_delta_hist(spark, sf_dir):
     """Of the third likelihood; cells whose first is 3 stand for cells of another width, and are passed over."""
     return ordered.delta_histogram(ordered.valid_deltas(calls(spark, sf_dir), "pl2", "pl0 = 0", width=WIDTH, skip="pl0 = 3"))
+
+
+# --- records as text -------------------------------------------------------
+
+_FORMAT = "GT:AD:DP:PL"
+_SPARK_CELL = "concat_ws(':', concat_ws('/', if(a1 < 0, '.', string(a1)), if(a2 < 0, '.', string(a2))), concat_ws(',', ad0, ad1), dp, concat_ws(',', pl0, pl1, pl2))"
+_DUCK_CELL = f"concat_ws(':', {_ALLELE('a1')} || '/' || {_ALLELE('a2')}, ad0 || ',' || ad1, dp, pl0 || ',' || pl1 || ',' || pl2)"
+_INFO = "concat('END=', CAST(pos + 3 AS STRING), ';Z=1;DB')"
+_DUCK_LINES = DUCK_CALLS + ", " + DUCK_SITES.removeprefix("WITH ") + f", j AS (SELECT pos, string_agg({_DUCK_CELL}, chr(9) ORDER BY sample_idx) AS cells FROM calls GROUP BY 1), lines AS (SELECT s.pos, concat_ws(chr(9), s.chrom, s.pos, s.id, s.ref, s.alt, s.qual, 'PASS', 'END=' || CAST(s.pos + 3 AS VARCHAR) || ';Z=1;DB', '{_FORMAT}', cells) AS line FROM sites s JOIN j USING (pos))\n"
+
+
+def _lines(spark, sf_dir):
+    """The star-schema genotypes as lines of a text file: a site has the samples that ordered its part."""
+    cells = calls(spark, sf_dir).groupBy("pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", F.expr(_SPARK_CELL).alias("c")))), lambda x: x["c"]), "\t").alias("cells"))
+    df = sites(spark, sf_dir).join(cells, "pos")
+    line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "id", "ref", "alt", "qual", F.lit("PASS"), F.expr(_INFO), F.lit(_FORMAT), "cells")
+    return df.select(F.lit(0).alias("file_no"), F.col("pos").alias("offset"), line.alias("line"))
+
+
+def _names() -> list[str]:
+    return [f"s{i}" for i in range(4096)]
+
+
+@query(_DUCK_LINES + "SELECT pos, line FROM lines")
+def record_round_trip(spark, sf_dir):
+    """Text to typed columns and back, byte by byte."""
+    from sitewise.sources import vcf
+
+    found = vcf.sites(_lines(spark, sf_dir))
+    return vcf.record_lines(found, vcf.calls(found, _names()), gt_only=False).select(F.col("site_id").alias("pos"), "line")
+
+
+_ORDERED = ", n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY pos ORDER BY sample_idx) - 1 AS i FROM calls)\n"
+
+
+@query(DUCK_CALLS + _ORDERED + f"SELECT pos, CAST(i AS INT) AS sample_no, 's' || CAST(i AS VARCHAR) AS sample, {_ALLELE('a1')} || '/' || {_ALLELE('a2')} AS gt, ad0 + ad1 AS depth, CAST(dp AS INT) AS dp, CAST(pl2 AS INT) AS pl2, CAST(NULL AS VARCHAR) AS raw FROM n")
+def parsed_calls(spark, sf_dir):
+    from sitewise.sources import vcf
+
+    df = vcf.calls(vcf.sites(_lines(spark, sf_dir)), _names())
+    return df.select("pos", F.col("sample_idx").alias("sample_no"), "sample", g.format_gt(F.col("gt"), F.col("phased")).alias("gt"), g.sum_ad(F.col("ad")).alias("depth"), "dp", F.get("pl", F.lit(2)).alias("pl2"), "raw")
+
+
+@query(DUCK_CALLS + ", f AS (SELECT * FROM calls QUALIFY ROW_NUMBER() OVER (PARTITION BY pos ORDER BY sample_idx) = 1)\nSELECT pos, pos + 3 AS end_pos, CAST(dp AS INT) AS dp, CAST(pl1 AS INT) AS pl1 FROM f")
+def block_records(spark, sf_dir):
+    """Single-sample records with END; the first sample of each site is the one."""
+    from sitewise.sources import vcf
+
+    first = _lines(spark, sf_dir).withColumn("line", F.substring_index("line", "\t", 10))
+    return vcf.gvcf(vcf.sites(first), ["s0"]).select("pos", "end_pos", "dp", F.get("pl", F.lit(1)).alias("pl1"))
+
+
+_DUCK_CANON = f"concat_ws(':', ad0 || ',' || ad1, dp, {_ALLELE('a1')} || '/' || {_ALLELE('a2')}, pl0 || ',' || pl1 || ',' || pl2)"
+
+
+@query(DUCK_CALLS + ", " + DUCK_SITES.removeprefix("WITH ") + f", c AS (SELECT pos, string_agg({_DUCK_CANON}, chr(9) ORDER BY sample_idx) AS cells FROM calls GROUP BY 1)\nSELECT s.pos, sha256(concat_ws(chr(9), s.chrom, s.pos, s.id, s.ref, s.alt, s.qual, 'PASS', 'DB;END=' || CAST(s.pos + 3 AS VARCHAR) || ';Z=1', 'AD:DP:GT:PL', cells)) AS hash FROM sites s JOIN c USING (pos)")
+def record_hashes(spark, sf_dir):
+    from sitewise.sources import hashes
+
+    df = _lines(spark, sf_dir).select(F.col("offset").alias("site_id"), "line")
+    return hashes.record_hashes(df).withColumnRenamed("site_id", "pos")
+
+
+@query(DUCK_CALLS + "SELECT pos, sample_idx, a1 < 0 OR a2 < 0 AS missing, a1 = 0 AND a2 = 0 AS hom_ref, a1 >= 0 AND a2 >= 0 AND a1 <> a2 AS het, CAST((a1 + 2) * (a1 + 3) / 2 AS INT) AS likelihoods FROM calls")
+def genotype_predicates(spark, sf_dir):
+    gt = F.array("a1", "a2")
+    return calls(spark, sf_dir).select("pos", "sample_idx", g.is_missing(gt).alias("missing"), g.is_hom_ref(gt).alias("hom_ref"), g.is_het(gt).alias("het"), g.pl_count(F.col("a1") + 2).alias("likelihoods"))
+
+
+@query(DUCK_CALLS + "SELECT pos, sample_idx, CASE WHEN ln % 2 = 0 THEN concat_ws(',', 0, pl1, pl2) ELSE concat_ws(',', 0, pl1, pl2, pl1, pl2, pl2) END AS pl FROM calls")
+def rebuilt_likelihoods(spark, sf_dir):
+    alleles = F.when(F.col("ln") % 2 == 0, 2).otherwise(3)
+    df = calls(spark, sf_dir).withColumn("pl", g.pl_rebuild(F.col("pl1"), F.col("pl2"), alleles))
+    return df.select("pos", "sample_idx", F.array_join(F.col("pl").cast("array<string>"), ",").alias("pl"))
