@@ -42,21 +42,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of similar texts stays, whatever its id: the key is a digest of the text.
+    """One row of each group of similar texts stays, whatever its id.
 
-    Equal texts are one; of each group the row with the least id stays (null ids last, ties by
-    the digest). Rows without words are groups of their own and all stay.
+    The key of a row is its id (null ids last) and a digest of its text; of each group the row with
+    the least key stays, and of rows with one key one. Rows without words are groups of their own
+    and all stay. Texts are shuffled once, by key, when the rows that stay are chosen.
     """
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
-    keyed = docs.filter(worded).withColumn("__key", F.sha2("text", 256))
-    # aggregated in part before the exchange, so that a text that many rows have is no load
-    firsts = stored(keyed.groupBy("__key").agg(F.min_by(F.struct(*docs.columns), order).alias("__row")), "distinct-texts")
-    found = jaccard.similar_documents(firsts.select(F.col("__key").alias("doc_id"), "__row.text"))
-    classes = found.select(F.col("doc_id").alias("__key"), "class_id").join(firsts.select("__key", "__row.doc_id"), "__key")
-    keep = classes.groupBy("class_id").agg(F.min_by("__key", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__key"))).alias("__key"))
-    kept = firsts.join(keep, "__key", "left_semi").select("__row.*")
-    return kept.unionByName(docs.filter(~worded)).select(*docs.columns)
+    number = F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), number.alias("id"), F.unhex(F.sha2("text", 256)).alias("digest"))
+    keyed = docs.filter(worded).withColumn("__key", key)
+    found = jaccard.similar_documents(keyed.select("__key", "text"), doc_id="__key")
+    keep = found.select(F.col("class_id").alias("__key")).distinct()
+    kept = keyed.join(keep, "__key", "left_semi").dropDuplicates(["__key"])
+    return kept.select(*docs.columns).unionByName(docs.filter(~worded))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
