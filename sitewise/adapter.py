@@ -25,8 +25,9 @@ CELL = {
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows (chrom, pos, sample_idx, q, ln, a1, a2, ad0, ad1, dp, pl0, pl1, pl2); unique by (pos, sample_idx)."""
-    cells = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("pos"), F.col("l_suppkey").alias("sample_idx"))
-    cells = cells.agg(F.min("l_quantity").cast("bigint").alias("q"), F.max("l_linenumber").cast("bigint").alias("ln"))
+    # dealt by position, so that what is counted by site needs no further exchange
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("pos"), F.col("l_suppkey").alias("sample_idx"), "l_quantity", "l_linenumber").repartition("pos")
+    cells = rows.groupBy("pos", "sample_idx").agg(F.min("l_quantity").cast("bigint").alias("q"), F.max("l_linenumber").cast("bigint").alias("ln"))
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.col("p_brand").alias("chrom"))
     return cells.join(part, "pos").select("chrom", "pos", "sample_idx", "q", "ln", *(F.expr(e).cast("bigint").alias(k) for k, e in CELL.items()))
 

@@ -28,9 +28,9 @@ def _blocked(df: DataFrame, order: Sequence[str], width: int | None) -> DataFram
     return df.withColumn(_BLOCK, F.struct(*before, F.floor(F.col(at) / width).alias("at")))
 
 
-def _over_blocks(df: DataFrame, by: Sequence[str], name: str, total: Column, carry: Callable[[W], Column]) -> DataFrame:
-    """``df`` with ``name``: what ``carry`` makes, over the blocks in order, of each block's ``total``."""
-    totals = df.groupBy(*by, _BLOCK).agg(total.alias("__total"))
+def _over_blocks(df: DataFrame, by: Sequence[str], edge: Column, total: Column, name: str, carry: Callable[[W], Column]) -> DataFrame:
+    """``df`` with ``name``: what ``carry`` makes, over the blocks in order, of ``total`` in the one row of each block that is its ``edge``."""
+    totals = df.filter(edge).select(*by, _BLOCK, total.alias("__total"))
     carried = totals.withColumn(name, carry(W.partitionBy(*by).orderBy(_BLOCK))).drop("__total")
     return df.join(carried, [*by, _BLOCK])
 
@@ -39,11 +39,13 @@ def neighbour(df: DataFrame, by: Sequence[str], order: Sequence[str], values: di
     """``df`` with columns ``values`` of the row before (``side`` -1) or after (1) in each group; null at its end."""
     df = _blocked(df, order, width).withColumn("__row", F.struct(*(c.alias(k) for k, c in values.items())))
     w = W.partitionBy(*by, _BLOCK).orderBy(*order)
-    step = F.lag if side < 0 else F.lead
-    df = df.withColumn("__near", step("__row").over(w))
-    if width is not None:
-        edge = F.max_by("__row", F.struct(*order)) if side < 0 else F.min_by("__row", F.struct(*order))
-        df = _over_blocks(df, by, "__far", edge, lambda over: step("__total").over(over)).withColumn("__near", F.coalesce("__near", "__far")).drop("__far")
+    step, back = (F.lag, F.lead) if side < 0 else (F.lead, F.lag)
+    if width is None:
+        df = df.withColumn("__near", step("__row").over(w))
+    else:
+        df = df.withColumns({"__near": step("__row").over(w), "__edge": back(F.lit(1)).over(w).isNull()})
+        df = _over_blocks(df, by, F.col("__edge"), F.col("__row"), "__far", lambda over: step("__total").over(over))
+        df = df.withColumn("__near", F.coalesce("__near", "__far")).drop("__far", "__edge")
     return df.withColumns({k: F.col("__near")[k] for k in values}).drop("__row", "__near", _BLOCK)
 
 
@@ -52,11 +54,13 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str, v
     to this one, or to the one ``before`` it."""
     df = _blocked(df, order, width).withColumn("__value", value)
     fold = F.max if most else F.sum
-    w = W.partitionBy(*by, _BLOCK).orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if before else 0)
-    df = df.withColumn(name, fold("__value").over(w))
+    w = W.partitionBy(*by, _BLOCK).orderBy(*order)
+    upto = lambda last: fold("__value").over(w.rowsBetween(W.unboundedPreceding, last))
+    df = df.withColumn(name, upto(-1 if before else 0))
     if width is not None:
-        df = _over_blocks(df, by, "__far", fold("__value"), lambda over: fold("__total").over(over.rowsBetween(W.unboundedPreceding, -1)))
-        df = df.withColumn(name, F.greatest(name, "__far") if most else F.coalesce(F.col(name) + F.col("__far"), name, "__far")).drop("__far")
+        df = df.withColumns({"__upto": upto(0), "__edge": F.lead(F.lit(1)).over(w).isNull()})
+        df = _over_blocks(df, by, F.col("__edge"), F.col("__upto"), "__far", lambda over: fold("__total").over(over.rowsBetween(W.unboundedPreceding, -1)))
+        df = df.withColumn(name, F.greatest(name, "__far") if most else F.coalesce(F.col(name) + F.col("__far"), name, "__far")).drop("__far", "__edge", "__upto")
     return df.drop("__value", _BLOCK)
 
 
