@@ -19,7 +19,7 @@ START = 5
 BINS = {
     "symbols": ("n_symbols / greatest(n_chars, 1)", (0.005, 0.02, 0.05, 0.1)),
     "upper": ("n_upper / greatest(n_chars, 1)", (0.02, 0.05, 0.2, 0.5)),
-    "distinct": ("n_distinct / greatest(n_tokens, 1)", (0.2, 0.4, 0.6)),
+    "distinct": ("n_distinct / greatest(n_tokens, 1)", (0.2, 0.4, 0.6)),  # of beginnings of words
     "length": ("log10(greatest(n_tokens, 1))", (1.0, 1.5, 2.0, 2.5, 3.0, 3.5)),
     "word": ("n_chars / greatest(n_tokens, 1)", (3.0, 4.5, 6.0, 9.0)),
 }
@@ -64,9 +64,11 @@ def features(docs: DataFrame, text: str = "text", starts: list[str] | None = Non
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     count = lambda kind: (F.length("__t") - F.length(F.regexp_replace("__t", kind, ""))).cast("bigint")
     df = docs.withColumn("__t", t).withColumn("__w", F.array_remove(F.split("__t", _SPACE, -1), ""))
-    df = df.withColumn("__d", F.split(F.lower("__t"), r"[^\p{L}\p{N}]+", -1))
-    wanted = (lambda x: x != "") if starts is None else (lambda x: x.isin(*starts) if starts else F.lit(False))
-    df = df.withColumn("__p", F.filter(F.transform("__d", lambda x: F.substring(x, 1, START)), wanted))
+    df = df.withColumn("__d", F.regexp_extract_all(F.lower("__t"), F.lit(rf"([\p{{L}}\p{{N}}]{{1,{START}}})[\p{{L}}\p{{N}}]*"), F.lit(1)))
+    if starts is None:
+        df = df.withColumn("__p", F.col("__d"))
+    else:
+        df = df.withColumn("__p", F.filter("__d", lambda x: x.isin(*starts)) if starts else F.array().cast("array<string>"))
     df = df.withColumns({"n_tokens": F.size("__w").cast("bigint"), "__d": F.size(F.array_distinct("__d")), "__p": F.sort_array("__p")})
     df = df.withColumns({"__s": count(r"[#*$%&|<>]+"), "__u": count(r"\p{Lu}+"), "__c": F.length(F.array_join("__w", ""))})
     names = {"n_symbols": "__s", "n_upper": "__u", "n_chars": "__c", "n_distinct": "__d"}
