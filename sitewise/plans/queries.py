@@ -514,7 +514,8 @@ _DOS = "(CASE WHEN a1 = 1 THEN 1 ELSE 0 END + CASE WHEN a2 = 1 THEN 1 ELSE 0 END
 @query(DUCK_CALLS + f", d AS (SELECT pos, sample_idx AS s, {_DOS} AS g FROM calls WHERE a1 >= 0 AND a2 >= 0)\nSELECT x.s AS s1, y.s AS s2, COUNT(*) AS n, CAST(SUM(CASE WHEN x.g <> y.g THEN 1 ELSE 0 END) AS BIGINT) AS differ FROM d x JOIN d y ON x.pos = y.pos AND x.s < y.s GROUP BY 1, 2")
 def gtcheck_pairs(spark, sf_dir):
     df = calls(spark, sf_dir).withColumn("dosage", g.dosage(F.col("a1"), F.col("a2"))).filter("dosage IS NOT NULL")
-    return setops.concordance(df, ("pos",))
+    samples = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("sample_idx"))
+    return setops.concordance(df, ("pos",), samples=samples)
 
 
 _OK = "(a1 >= 0 AND a2 >= 0)"

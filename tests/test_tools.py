@@ -1,6 +1,8 @@
 import itertools
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +52,56 @@ def test_sample_pairs_over_blocks(spark, monkeypatch):
     assert got == want
 
 
+def brute_pairs(cells):
+    at = {(p, s): d for p, s, d in cells}
+    out = {}
+    for p in {p for p, *_ in cells}:
+        for a, b in itertools.combinations(sorted(s for q, s, _ in cells if q == p), 2):
+            n, differ = out.get((a, b), (0, 0))
+            out[a, b] = n + 1, differ + (at[p, a] != at[p, b])
+    return out
+
+
+@pytest.mark.parametrize("dense", [0, float("inf")])
+def test_few_calls_a_site(spark, monkeypatch, dense):
+    """Sites that hold few of the samples, by matrices and by lists; no table of pairs is aggregated by row."""
+    rng = random.Random(6)
+    cells = [(p, s, rng.randrange(3)) for p in range(60) for s in rng.sample(range(-9, 40), rng.randrange(6))]
+    monkeypatch.setattr(setops, "SAMPLE_BLOCK", 4)
+    monkeypatch.setattr(setops, "DENSE", dense, raising=False)
+    df = spark.createDataFrame(cells, "pos long, sample_idx int, dosage int")
+    out = setops.concordance(df, ("pos",))
+    assert out.dtypes == [("s1", "int"), ("s2", "int"), ("n", "bigint"), ("differ", "bigint")]
+    assert not re.search(r"Aggregate.*keys=\[.*s1", out._jdf.queryExecution().toString())
+    got = [(r.s1, r.s2, r.n, r.differ) for r in out.collect()]
+    assert sorted(got) == sorted((*k, *v) for k, v in brute_pairs(cells).items())
+    assert setops.concordance(df.limit(0), ("pos",)).count() == 0
+
+
+@pytest.mark.parametrize("dense", [0, 0.3, 10])
+def test_pair_counts_in_bounded_memory(monkeypatch, dense):
+    """Lists given out early and tables add up to the same; listed sites hold no tables."""
+    monkeypatch.setattr(setops, "PAIRS", 5)
+    monkeypatch.setattr(setops, "HELD", 40)
+    rng = random.Random(7)
+    cells = [(p, s, rng.randrange(3)) for p in range(80) for s in sorted(rng.sample(range(8, 40), rng.randrange(1, 12)))]
+    own, got = setops.PairCounts(2, 4, dense), {}
+
+    def take(found):
+        for pairs, n, differ in found:
+            assert (pairs[1:] > pairs[:-1]).all()
+            for k, *v in zip(pairs.tolist(), n.tolist(), differ.tolist()):
+                pair = 8 + k // 4 % 4, k // 16 * 4 + k % 4
+                got[pair] = tuple(a + b for a, b in zip(got.get(pair, (0, 0)), v))
+
+    for lo in range(0, 80, 9):
+        part = [[4 * s + d for q, s, d in cells if q == p] for p in range(lo, min(80, lo + 9))]
+        take(own.add(np.array(sum(part, []), "i8"), np.cumsum([0, *map(len, part)])))
+        assert own.held < 40 + 5 and (dense < 10 or not own.tables)
+    take(own.rest())
+    assert got == {k: v for k, v in brute_pairs(cells).items() if k[0] < 12}
+
+
 def spelled(reference, pos, ref, alt):
     """The sequence with the allele in place; ``pos`` counts from 0."""
     assert reference[pos : pos + len(ref)] == ref
