@@ -126,7 +126,7 @@ def regression(rows: list[tuple[int, list[int]]], domains: int, n: int, ridge: f
     return w
 
 
-def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, sample: int = 8_000, most: int = 128, doc_id: str = "doc_id", text: str = "text") -> Classifier:
+def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, sample: int = 8_000, most: int = 128, least: int = 20, doc_id: str = "doc_id", text: str = "text") -> Classifier:
     """Classifier of ``domain`` (an expression over ``labels``) from a bounded labelled sample.
 
     The bound: about ``sample`` labelled rows, chosen by a hash of the id, and the ``most``
@@ -134,16 +134,25 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, sample: int
     ratios are among them). Rows without a domain teach nothing. Of each row its domain and
     the places of its features come to the driver, never a text. Being a regression, it gives
     posteriors whose means over the sample are the shares of the domains.
+
+    A domain with fewer than ``least`` rows that is also below a hundredth of the largest is not
+    learned, with a warning: one or two rows tell nothing of it, and rates that raise it to a
+    target would repeat whatever is a little like them by the thousand and drop all else. Its
+    documents get posteriors of the others.
     """
     labels = labels.select(doc_id, domain.cast("string").alias("__y")).filter(F.col("__y").isNotNull() & F.col(doc_id).isNotNull())
     labels = labels.groupBy(doc_id).agg(F.min("__y").alias("__y"))
     labels = hashed_sample(labels, doc_id, labels.count(), sample, seed=3)
     rows = stored(features(docs.select(doc_id, text).join(F.broadcast(labels), doc_id), text).select("__y", "features"), "domain-sample")
     sizes = {r[0]: r[1] for r in rows.groupBy("__y").count().collect()}
-    domains = sorted(sizes)
+    rare = {d: k for d, k in sorted(sizes.items()) if k < least and 100 * k < max(sizes.values())}
+    if rare:
+        warnings.warn(f"domains with too few labelled rows to be learned: {rare} of {sum(sizes.values())}", stacklevel=2)
+        rows = rows.filter(~F.col("__y").isin(*rare))
+    domains = sorted(sizes.keys() - rare)
     if not domains:
         return Classifier(["all"], [0.0])
-    n = sum(sizes.values())
+    n = sum(sizes[d] for d in domains)
     counts = rows.select("__y", F.explode("features").alias("f")).groupBy("f").agg(*(F.sum((F.col("__y") == d).cast("int")).alias(f"c{i}") for i, d in enumerate(domains)))
     total = sum((F.col(f"c{i}") for i in range(len(domains))), F.lit(0))
     gain = sum((F.when(F.col(f"c{i}") > 0, F.col(f"c{i}") * F.log(F.col(f"c{i}") * n / (F.col("c") * sizes[d]))).otherwise(0.0) for i, d in enumerate(domains)), F.lit(0.0))

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -94,6 +95,24 @@ def test_targets_are_met(spark, sf):
         assert mix.met and all(abs(g - t) <= 1e-3 * sum(mix.targets) for g, t in zip(mix.expected, mix.targets))
 
 
+@pytest.mark.filterwarnings("ignore:domains with too few")
+def test_a_domain_of_one_row_moves_no_rates(spark, tmp_path):
+    """One labelled row is no domain: no document is repeated over and over for its target, and none is lost for it."""
+    rng = random.Random(8)
+    words = [a + b for a in "bcdfglmnprst" for b in ("ane", "ilo", "omu", "eri", "uta")]
+    text = lambda n, *more: " ".join([*rng.choices(words, k=n), *more])
+    rows = [(i, text(rng.choice((6, 40, 90))), 1, 0) for i in range(400)] + [(400 + i, text(60, "idiot", "idiot"), 1, 1) for i in range(80)] + [(480, text(5), 0, 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int").write.parquet(str(tmp_path / "rows"))
+    docs = spark.read.parquet(str(tmp_path / "rows"))
+    docs.select("doc_id", "quality", "toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = docs.select("doc_id", "text")
+    with pytest.warns(UserWarning, match="quality=0 toxic=0': 1"):
+        model, mix, _ = mixing.mix_rates(docs, spark.read.parquet(str(tmp_path / "labels.parquet")), queries.label_domain(), cp.WEIGHTS, lift=cp.LIFT)
+    assert mix.met and model.domains == ["quality=1 toxic=0", "quality=1 toxic=1"]
+    got = ids(cp.mix_sources(spark, docs, str(tmp_path)))
+    assert max(got.values()) <= 2 and set(range(400)) <= set(got)
+
+
 def test_stages_take_empty_tables(spark, sf_dir):
     none = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
