@@ -21,9 +21,22 @@ from .common import sliced, stored
 #: Sequences in a record batch.
 BATCH = 64
 
-#: Words whose ids a worker keeps; later words are kept for one batch only.
+#: Words, and stems of words, whose ids a worker keeps; later ones are kept for one batch only.
 CACHE = 400_000
 
+#: Stems that the library is given in one text.
+JOINED = 200
+
+#: Tokenizers of this kind encode a word as its lower-case letters, then the marks after them.
+STEMS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+
 _MANIFEST = "shard int, path string, docs long, tokens long"
 
 
@@ -34,41 +47,87 @@ class WordEncoder:
     are the ids of its words in order; each distinct word goes through the library once.
     Texts with control characters that the two libraries split differently, or with ``<|``
     as special tokens begin, go through the library whole.
+
+    A tokenizer as in ``STEMS`` has the ids of a word of Latin letters with ASCII marks behind it
+    (no apostrophe) as those of its lower-case stem and those of the marks. Each distinct stem goes
+    through the library once, many in one text: a stem ends with the only token that ends words.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import json
         import re
 
+        import numpy as np
         from tokenizers import Tokenizer
 
-        self.lib, self.cache = Tokenizer.from_file(path), {}
+        self.lib, self.cache, self.stems = Tokenizer.from_file(path), {}, {}
         self.lib.no_truncation()
         self.lib.no_padding()
         self.whole = re.compile("[\x1c-\x1f]|<\\|").search
+        self.latin = re.compile("[a-zß-öø-įı-ɏ]+").fullmatch
         self.dtype = "<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4"
+        said, self.last = json.loads(self.lib.to_str()), None
+        suffix = said["model"].get("end_of_word_suffix")
+        if suffix and not said["model"].get("dropout") and all(said[k] == x for k, x in STEMS.items()):
+            vocab = self.lib.get_vocab()
+            self.last = np.zeros(max(vocab.values()) + 1, bool)
+            self.last[[i for x, i in vocab.items() if x.endswith(suffix)]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
         return [np.array(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _stems(self, stems: list[str]) -> dict[str, bytes]:
+        import numpy as np
+
+        out = {}
+        texts = [stems[i : i + JOINED] for i in range(0, len(stems), JOINED)]
+        for words, e in zip(texts, self.lib.encode_batch_fast([*map(" ".join, texts)], add_special_tokens=False) if texts else ()):
+            ids = np.array(e.ids, self.dtype)
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * ids.itemsize).tolist()
+            if len(ends) != len(words):
+                out |= zip(words, self._ids(words))
+                continue
+            raw = ids.tobytes()
+            out |= zip(words, [raw[a:b] for a, b in zip([0, *ends], ends)])
+        return out
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are not in the cache."""
+        if self.last is None or not words:
+            return self._ids(words) if words else []
+        low = "\n".join(words).lower().split("\n")
+        stems = [w.rstrip(MARKS) for w in low]
+        marks = [w[len(x) :] for w, x in zip(low, stems)]
+        known = self.stems
+        found = self._stems([*filter(self.latin, set(stems).difference(known))])
+        if len(known) < CACHE:
+            known.update(found)
+        else:
+            known = found | {x: known[x] for x in set(stems) if x in known}
+        tails = [*set(marks) - {""}]
+        after = dict(zip(["", *tails], [b"", *(self._ids(tails) if tails else [])]))
+        out = [known[x] + after[m] if x in known else None for x, m in zip(stems, marks)]
+        odd = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(odd, self._ids([words[i] for i in odd]) if odd else ()):
+            out[i] = ids
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text as little-endian integers of ``dtype``."""
         cache, out = self.cache, []
         split = [None if self.whole(t) else t.split() for t in texts]
-        new = [*set().union(*(s for s in split if s)).difference(cache)]
-        own: dict[str, bytes] = {}
-        for w, ids in zip(new, self._ids(new) if new else ()):
-            (cache if len(cache) < CACHE else own)[w] = ids
+        seen = set().union(*(s for s in split if s))
+        ids = dict(zip(seen, map(cache.get, seen)))
+        new = [w for w, x in ids.items() if x is None]
+        coded = dict(zip(new, self._words(new)))
+        ids.update(coded)
+        if len(cache) < CACHE:
+            cache.update(coded)
         for t, words in zip(texts, split):
-            if words is None:
-                out.append(self._ids([t])[0])
-                continue
-            try:
-                out.append(b"".join(map(cache.__getitem__, words)))
-            except KeyError:
-                out.append(b"".join([cache[w] if w in cache else own[w] for w in words]))
+            out.append(self._ids([t])[0] if words is None else b"".join(map(ids.__getitem__, words)))
         return out
 
 

@@ -201,6 +201,31 @@ def test_token_files(spark, docs, tmp_path):
     assert tokenfile.read_token_files(spark, empty).count() == 0
 
 
+def test_words_of_one_stem_are_encoded_once(monkeypatch):
+    """Case and marks behind a word cost no second encoding; whatever else a word holds, ids are the library's."""
+    from tokenizers import Tokenizer
+
+    path, rng = P.path("word_bpe_49k.json"), random.Random(9)
+    lib, enc, asked = Tokenizer.from_file(path), tokenfile.WordEncoder(path), []
+    want = lambda t: np.array(lib.encode(t, add_special_tokens=False).ids, enc.dtype).tobytes()
+    by_word, by_stem = enc._ids, enc._stems
+    monkeypatch.setattr(enc, "_ids", lambda x: asked.extend(x) or by_word(x))
+    monkeypatch.setattr(enc, "_stems", lambda x: asked.extend(x) or by_stem(x), raising=False)
+    text = "Straße straße, STRASSE strasse. (Straße) STRAßE! straße... übung Übung, ÜBUNG."
+    assert enc.encode([text, "Übung! strasse,"]) == [want(text), want("Übung! strasse,")]
+    assert sorted(x for x in asked if x[0].isalpha()) == ["strasse", "straße", "übung"]
+    monkeypatch.undo()
+    parts = ["ab", "Zoo", "É", "e\u0301", "ñ", "İ", "ı", "ß", "ẞ", "ΟΔΟΣ", "σ", "ж", "\u212a", "\u212b", "ª", "µ", "ǅ", "ŉ", "ƻ", "ǃ", "\u2c7e", "\u0338", "\u0307", "ﬁ", "字", "½", "²", "7", "42", "'s", "'LL", "’s", "'", "_", "-", ".", ",", "=", "<", ">", "|", "…", "¿", "🙂", "\u200d", "\u00ad", "\x00", "\x85", "\u3000", "\ufeff", "\ud7ff"]
+    words = ["".join(rng.choices(parts, k=rng.randrange(1, 6))) for _ in range(4000)] + [a + b for a in parts for b in parts] + [x + "," for x in map(chr, range(33, 0x250))]
+    for cache in (0, 50, 400_000):
+        monkeypatch.setattr(tokenfile, "CACHE", cache)
+        enc = tokenfile.WordEncoder(path)
+        texts = [" ".join(rng.choices(words, k=30)) for _ in range(300)] + words
+        for k in range(0, len(texts), 256):
+            assert enc.encode(texts[k : k + 256]) == [want(t) for t in texts[k : k + 256]]
+    assert enc.last is not None and tokenfile.WordEncoder(P.path("byte_bpe_50k.json")).last is None
+
+
 # --- audio -----------------------------------------------------------------
 
 
