@@ -24,9 +24,12 @@ BATCH = 64
 #: Words, and stems of words, whose ids a worker keeps; later ones are kept for one batch only.
 CACHE = 400_000
 
-#: Stems that the library is given in one text.
+#: Stems that the library is given in one text, and texts in one call.
 JOINED = 200
 
+#: Rows of a view that is encoded at a time; ``sliced`` bounds its bytes.
+VIEW = 4096
+
 #: Tokenizers of this kind encode a word as its lower-case letters, then the marks after them.
 STEMS = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -46,11 +49,14 @@ class WordEncoder:
     For a tokenizer that drops white space and never merges across it, the ids of a text
     are the ids of its words in order; each distinct word goes through the library once.
     Texts with control characters that the two libraries split differently, or with ``<|``
-    as special tokens begin, go through the library whole.
+    as special tokens begin, go through the library whole. Arrow splits texts, tells the distinct
+    words of a view and strings their ids together: Python sees each of them once a view.
 
     A tokenizer as in ``STEMS`` has the ids of a word of Latin letters with ASCII marks behind it
     (no apostrophe) as those of its lower-case stem and those of the marks. Each distinct stem goes
     through the library once, many in one text: a stem ends with the only token that ends words.
+    Such stems need no normalizer and no expression to part them, so ``plain`` is the library with
+    the same model and without both.
     """
 
     def __init__(self, path: str):
@@ -59,12 +65,11 @@ class WordEncoder:
         import re
 
         import numpy as np
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib, self.cache, self.stems = Tokenizer.from_file(path), {}, {}
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.whole = re.compile("[\x1c-\x1f]|<\\|").search
         self.latin = re.compile("[a-zß-öø-įı-ɏ]+").fullmatch
         self.dtype = "<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4"
         said, self.last = json.loads(self.lib.to_str()), None
@@ -73,25 +78,28 @@ class WordEncoder:
             vocab = self.lib.get_vocab()
             self.last = np.zeros(max(vocab.values()) + 1, bool)
             self.last[[i for x, i in vocab.items() if x.endswith(suffix)]] = True
+            self.plain = Tokenizer(self.lib.model)
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        parts = (texts[i : i + JOINED] for i in range(0, len(texts), JOINED))
+        return [np.array(e.ids, self.dtype).tobytes() for x in parts for e in self.lib.encode_batch_fast(x, add_special_tokens=False)]
 
     def _stems(self, stems: list[str]) -> dict[str, bytes]:
         import numpy as np
 
         out = {}
-        texts = [stems[i : i + JOINED] for i in range(0, len(stems), JOINED)]
-        for words, e in zip(texts, self.lib.encode_batch_fast([*map(" ".join, texts)], add_special_tokens=False) if texts else ()):
-            ids = np.array(e.ids, self.dtype)
+        for i in range(0, len(stems), JOINED):
+            words = stems[i : i + JOINED]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
             ends = ((np.flatnonzero(self.last[ids]) + 1) * ids.itemsize).tolist()
             if len(ends) != len(words):
-                out |= zip(words, self._ids(words))
+                out.update(zip(words, self._ids(words)))
                 continue
             raw = ids.tobytes()
-            out |= zip(words, [raw[a:b] for a, b in zip([0, *ends], ends)])
+            out.update(zip(words, [raw[a:b] for a, b in zip([0, *ends], ends)]))
         return out
 
     def _words(self, words: list[str]) -> list[bytes]:
@@ -105,30 +113,53 @@ class WordEncoder:
         found = self._stems([*filter(self.latin, set(stems).difference(known))])
         if len(known) < CACHE:
             known.update(found)
-        else:
-            known = found | {x: known[x] for x in set(stems) if x in known}
+        ids = [found.get(x) if i is None else i for x, i in zip(stems, map(known.get, stems))]
         tails = [*set(marks) - {""}]
         after = dict(zip(["", *tails], [b"", *(self._ids(tails) if tails else [])]))
-        out = [known[x] + after[m] if x in known else None for x, m in zip(stems, marks)]
+        out = [None if i is None else i + after[m] for i, m in zip(ids, marks)]
         odd = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(odd, self._ids([words[i] for i in odd]) if odd else ()):
-            out[i] = ids
+        for i, x in zip(odd, self._ids([words[i] for i in odd]) if odd else ()):
+            out[i] = x
         return out
 
+    def pack(self, texts, end: bytes = b"") -> tuple:
+        """Ids of the whole texts of an Arrow array and ``end`` behind each, as one string of little-endian
+        integers of ``dtype``, and their numbers. A null text counts as empty."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        cache, texts = self.cache, pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, pattern="[\x1c-\x1f]|<\\|")
+        odd = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        split = pc.utf8_split_whitespace(pc.if_else(whole, "", texts) if len(odd) else texts)
+        last = np.cumsum(pc.list_value_length(split).to_numpy(), dtype="i8")
+        words = split.flatten().dictionary_encode()
+        seen = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = [*map(cache.get, seen)]
+        new = [i for i, x in enumerate(ids) if x is None]
+        fresh = [seen[i] for i in new]
+        for i, x in zip(new, coded := self._words(fresh)):
+            ids[i] = x
+        if len(cache) < CACHE:
+            cache.update(zip(fresh, coded))
+        # behind the words of each text: its end, or all of its ids if it went through the library whole
+        behind = np.full(len(texts), len(ids), "i4")
+        behind[odd] += np.arange(1, len(odd) + 1, dtype="i4")
+        ids += [end, *(self._ids([x])[0] + end for x in texts.take(pa.array(odd)).to_pylist())]
+        order = np.insert(words.indices.to_numpy(), last, behind)
+        found = pa.array(ids, pa.large_binary()).take(pa.array(order))
+        at = np.frombuffer(found.buffers()[1], "i8")[np.concatenate([[0], last + np.arange(1, len(last) + 1)])]
+        return memoryview(found.buffers()[2] or b"")[: at[-1]], np.diff(at) // np.dtype(self.dtype).itemsize
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text as little-endian integers of ``dtype``."""
-        cache, out = self.cache, []
-        split = [None if self.whole(t) else t.split() for t in texts]
-        seen = set().union(*(s for s in split if s))
-        ids = dict(zip(seen, map(cache.get, seen)))
-        new = [w for w, x in ids.items() if x is None]
-        coded = dict(zip(new, self._words(new)))
-        ids.update(coded)
-        if len(cache) < CACHE:
-            cache.update(coded)
-        for t, words in zip(texts, split):
-            out.append(self._ids([t])[0] if words is None else b"".join(map(ids.__getitem__, words)))
-        return out
+        import numpy as np
+        import pyarrow as pa
+
+        raw, sizes = self.pack(pa.array(texts, pa.string()))
+        ends = np.cumsum(sizes * np.dtype(self.dtype).itemsize).tolist()
+        return [bytes(raw[a:b]) for a, b in zip([0, *ends], ends)]
 
 
 _LOADED: dict[str, WordEncoder] = {}
@@ -163,15 +194,15 @@ class ShardWriter:
         self.out, self.docs_out = pa.ipc.new_stream(self.sink, self.schema), pa.ipc.new_stream(self.docs_sink, self.index)
         self.waiting, self.held, self.tokens, self.docs = [], 0, 0, 0
 
-    def add(self, doc_ids: list, coded: list[bytes]) -> None:
+    def add(self, doc_ids, coded, sizes) -> None:
+        """Arrow ids of documents, the token ids of all of them in one buffer, and the number of each."""
         np, pa = self.np, self.pa
-        sizes = np.array([len(x) // self.dtype.itemsize for x in coded], "i8")
         first = self.tokens + np.cumsum(sizes) - sizes
-        self.docs_out.write_batch(pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(first), pa.array(sizes)], schema=self.index))
+        self.docs_out.write_batch(pa.RecordBatch.from_arrays([doc_ids, pa.array(first), pa.array(sizes)], schema=self.index))
         self.docs += len(doc_ids)
         self.tokens += int(sizes.sum())
-        self.waiting.append(b"".join(coded))
-        self.held += len(self.waiting[-1])
+        self.waiting.append(coded)
+        self.held += len(coded)
         if self.held >= BATCH * self.length * self.dtype.itemsize:
             self._flush(False)
 
@@ -253,13 +284,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         from pyspark import TaskContext
 
         task, out = TaskContext.get(), None
-        for b in sliced(batches, 1):
+        for b in sliced(batches, 1, VIEW):
             enc = load(tokenizer)
             if out is None:
                 path = f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.arrow"
                 out, end = ShardWriter(path, length, enc.dtype), end_id.to_bytes(int(enc.dtype[2:]), "little")
-            coded = enc.encode([x or "" for x in b.column(1).to_pylist()])
-            out.add(b.column(0).to_pylist(), [x + end for x in coded])
+            out.add(b.column(0), *enc.pack(b.column(1), end))
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int32()), "path": [path], "docs": [out.docs], "tokens": [out.tokens]})

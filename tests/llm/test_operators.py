@@ -226,6 +226,40 @@ def test_words_of_one_stem_are_encoded_once(monkeypatch):
     assert enc.last is not None and tokenfile.WordEncoder(P.path("byte_bpe_50k.json")).last is None
 
 
+def test_words_of_a_view_are_handled_once():
+    """Python's work grows with the distinct words of a view, not with its texts; every kind of white space parts words."""
+    import sys
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    lib, enc, calls = Tokenizer.from_file(path), tokenfile.WordEncoder(path), []
+    want = lambda t: np.array(lib.encode(t or "", add_special_tokens=False).ids, enc.dtype).tobytes()
+    views = [[f"one two, {'three! ' * (i % 3)}Four" for i in range(n)] for n in (3, 3000)]
+    right = [[*map(want, v)] for v in views]
+    enc.encode(views[0])
+    for view, ids in zip(views, right):
+        seen = []
+        sys.setprofile(lambda frame, event, arg: seen.append(event) if event in ("call", "c_call") else None)  # noqa: B023
+        try:
+            got = enc.encode(view)
+        finally:
+            sys.setprofile(None)
+        assert got == ids
+        calls.append(len(seen))
+    assert calls[1] < calls[0] + 100
+    spaces = [chr(c) for c in range(1, 0x110000) if chr(c).isspace()]
+    assert len(spaces) == 29 and enc.encode([f"a{c}B{c}{c}c." for c in spaces]) == [want(f"a{c}B{c}{c}c.") for c in spaces]
+    # texts that go through the library whole, nulls and texts without words, first, last and side by side
+    odd = ["<|endoftext|> x", "a\x1cb", None, "", " ", "a b", "a\x1fb", "<|", None, "ab <|startoftext|>", "last"]
+    for texts in (odd, odd[::-1], odd[:1], odd[2:3], []):
+        raw, sizes = enc.pack(pa.array(["cut off", *texts], pa.string())[1:], b"\x02\x00")
+        assert bytes(raw) == b"".join(want(t) + b"\x02\x00" for t in texts)
+        assert sizes.tolist() == [len(want(t)) // 2 + 1 for t in texts]
+    assert enc.encode([]) == [] and enc.encode(["", " "]) == [b"", b""]
+
+
 # --- audio -----------------------------------------------------------------
 
 
