@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from .common import sliced, stored
 #: Sequences in a record batch.
 BATCH = 64
 
-#: Words, and stems of words, whose ids a worker keeps; later ones are kept for one batch only.
+#: Words, and stems of words, whose ids a worker keeps; later ones are kept for one view only.
 CACHE = 400_000
 
 #: Stems that the library is given in one text, and texts in one call.
@@ -111,8 +112,7 @@ class WordEncoder:
         marks = [w[len(x) :] for w, x in zip(low, stems)]
         known = self.stems
         found = self._stems([*filter(self.latin, set(stems).difference(known))])
-        if len(known) < CACHE:
-            known.update(found)
+        known.update(islice(found.items(), max(0, CACHE - len(known))))
         ids = [found.get(x) if i is None else i for x, i in zip(stems, map(known.get, stems))]
         tails = [*set(marks) - {""}]
         after = dict(zip(["", *tails], [b"", *(self._ids(tails) if tails else [])]))
@@ -141,8 +141,7 @@ class WordEncoder:
         fresh = [seen[i] for i in new]
         for i, x in zip(new, coded := self._words(fresh)):
             ids[i] = x
-        if len(cache) < CACHE:
-            cache.update(zip(fresh, coded))
+        cache.update(islice(zip(fresh, coded), max(0, CACHE - len(cache))))
         # behind the words of each text: its end, or all of its ids if it went through the library whole
         behind = np.full(len(texts), len(ids), "i4")
         behind[odd] += np.arange(1, len(odd) + 1, dtype="i4")

@@ -226,6 +226,20 @@ def test_words_of_one_stem_are_encoded_once(monkeypatch):
     assert enc.last is not None and tokenfile.WordEncoder(P.path("byte_bpe_50k.json")).last is None
 
 
+def test_kept_words_are_bounded(monkeypatch):
+    """A view of many words does not take the cache past its bound, and later words have right ids."""
+    from tokenizers import Tokenizer
+
+    path, rng = P.path("word_bpe_49k.json"), random.Random(3)
+    lib = Tokenizer.from_file(path)
+    monkeypatch.setattr(tokenfile, "CACHE", 100)
+    enc = tokenfile.WordEncoder(path)
+    for _ in range(3):
+        text = " ".join("".join(rng.choices("abcdeé", k=6)) + rng.choice(["", "!"]) for _ in range(2000))
+        assert enc.encode([text]) == [np.array(lib.encode(text, add_special_tokens=False).ids, enc.dtype).tobytes()]
+        assert (len(enc.cache), len(enc.stems)) == (100, 100)
+
+
 def test_words_of_a_view_are_handled_once():
     """Python's work grows with the distinct words of a view, not with its texts; every kind of white space parts words."""
     import sys
