@@ -15,6 +15,9 @@ _LOCAL: dict[str, str] = {}
 #: batch itself by bytes; what Python makes of a batch takes several times its size.
 ROWS, BYTES = 256, 4 << 20
 
+#: Bytes of input for a partition that is read together with others.
+PART = 64 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,6 +43,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sitewise/{name}-{uuid.uuid4().hex}"
 
 
+def few(df: DataFrame) -> DataFrame:
+    """``df`` in as few partitions as keep all cores busy; rows and their order in them stay.
+
+    A task that writes a file on a local or mounted folder starts ``chmod`` for its folder, its file
+    and its checksums. Until such a child runs its own program it shares the pages of the executor,
+    and who adds up processes counts the executor's memory twice: small files are to be avoided.
+    Partitions are only read one after another, never shuffled: one for each core at least, and more
+    so that none has more than about ``PART`` bytes of input or 32 shuffle partitions.
+    """
+    spark, leaves = df.sparkSession, df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(min(max(spark.sparkContext.defaultParallelism, -(-size // PART), -(-shuffled // 32)), (1 << 31) - 1))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, stored
+from .common import few, hashed_sample, stored
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -133,7 +134,8 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, sample: int
     features that tell the domains apart best (largest log-likelihood ratio; all bins of
     ratios are among them). Rows without a domain teach nothing. Of each row its domain and
     the places of its features come to the driver, never a text. Being a regression, it gives
-    posteriors whose means over the sample are the shares of the domains.
+    posteriors whose means over the sample are the shares of the domains. The sample's features
+    stay on the executors' disks while the fit runs; what a lost one held is computed again.
 
     A domain with fewer than ``least`` rows that is also below a hundredth of the largest is not
     learned, with a warning: one or two rows tell nothing of it, and rates that raise it to a
@@ -143,24 +145,27 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, sample: int
     labels = labels.select(doc_id, domain.cast("string").alias("__y")).filter(F.col("__y").isNotNull() & F.col(doc_id).isNotNull())
     labels = labels.groupBy(doc_id).agg(F.min("__y").alias("__y"))
     labels = hashed_sample(labels, doc_id, labels.count(), sample, seed=3)
-    rows = stored(features(docs.select(doc_id, text).join(F.broadcast(labels), doc_id), text).select("__y", "features"), "domain-sample")
-    sizes = {r[0]: r[1] for r in rows.groupBy("__y").count().collect()}
-    rare = {d: k for d, k in sorted(sizes.items()) if k < least and 100 * k < max(sizes.values())}
-    if rare:
-        warnings.warn(f"domains with too few labelled rows to be learned: {rare} of {sum(sizes.values())}", stacklevel=2)
-        rows = rows.filter(~F.col("__y").isin(*rare))
-    domains = sorted(sizes.keys() - rare)
-    if not domains:
-        return Classifier(["all"], [0.0])
-    n = sum(sizes[d] for d in domains)
-    counts = rows.select("__y", F.explode("features").alias("f")).groupBy("f").agg(*(F.sum((F.col("__y") == d).cast("int")).alias(f"c{i}") for i, d in enumerate(domains)))
-    total = sum((F.col(f"c{i}") for i in range(len(domains))), F.lit(0))
-    gain = sum((F.when(F.col(f"c{i}") > 0, F.col(f"c{i}") * F.log(F.col(f"c{i}") * n / (F.col("c") * sizes[d]))).otherwise(0.0) for i, d in enumerate(domains)), F.lit(0.0))
-    counts = counts.withColumn("c", total).filter("c >= 5").withColumn("gain", gain)
-    best = counts.filter((F.col("gain") > 8) | F.col("f").startswith("#")).orderBy(F.desc(F.col("f").startswith("#")), F.desc("gain"), "f").limit(most)
-    names = [r.f for r in best.select("f").collect()]
-    place, number = {f: i for i, f in enumerate(names)}, {d: i for i, d in enumerate(domains)}
-    taught = rows.select("__y", F.array_intersect("features", F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")).alias("f")).collect()
+    held = rows = features(docs.select(doc_id, text).join(F.broadcast(labels), doc_id), text).select("__y", "features").persist(StorageLevel.DISK_ONLY)
+    try:
+        sizes = {r[0]: r[1] for r in rows.groupBy("__y").count().collect()}
+        rare = {d: k for d, k in sorted(sizes.items()) if k < least and 100 * k < max(sizes.values())}
+        if rare:
+            warnings.warn(f"domains with too few labelled rows to be learned: {rare} of {sum(sizes.values())}", stacklevel=2)
+            rows = rows.filter(~F.col("__y").isin(*rare))
+        domains = sorted(sizes.keys() - rare)
+        if not domains:
+            return Classifier(["all"], [0.0])
+        n = sum(sizes[d] for d in domains)
+        counts = rows.select("__y", F.explode("features").alias("f")).groupBy("f").agg(*(F.sum((F.col("__y") == d).cast("int")).alias(f"c{i}") for i, d in enumerate(domains)))
+        total = sum((F.col(f"c{i}") for i in range(len(domains))), F.lit(0))
+        gain = sum((F.when(F.col(f"c{i}") > 0, F.col(f"c{i}") * F.log(F.col(f"c{i}") * n / (F.col("c") * sizes[d]))).otherwise(0.0) for i, d in enumerate(domains)), F.lit(0.0))
+        counts = counts.withColumn("c", total).filter("c >= 5").withColumn("gain", gain)
+        best = counts.filter((F.col("gain") > 8) | F.col("f").startswith("#")).orderBy(F.desc(F.col("f").startswith("#")), F.desc("gain"), "f").limit(most)
+        names = [r.f for r in best.select("f").collect()]
+        place, number = {f: i for i, f in enumerate(names)}, {d: i for i, d in enumerate(domains)}
+        taught = rows.select("__y", F.array_intersect("features", F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")).alias("f")).collect()
+    finally:
+        held.unpersist()
     w = regression([(number[r[0]], [place[f] for f in r.f]) for r in taught], len(domains), len(names))
     return Classifier(domains, [float(x) for x in w[:, -1]], {f: [float(x) for x in w[:, i]] for i, f in enumerate(names)})
 
@@ -293,7 +298,7 @@ def mix_rates(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[
     empty table has no steps: all rates are 1.
     """
     model = fit_domains(docs, labels, domain, doc_id=doc_id, text=text)
-    scored = stored(score_domains(docs.select(doc_id, text), model, text).drop(text), "posteriors")
+    scored = stored(few(score_domains(docs.select(doc_id, text), model, text).drop(text)), "posteriors")
     sums = scored.agg(F.sum("n_tokens"), *(F.sum(F.col("n_tokens") * F.get("posterior", F.lit(i))) for i in range(len(model.domains)))).first()
     budget = float(sums[0] or 0)
     for d, x in (lift or {}).items():

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sitewise.llm import audio, bpe, jaccard, langid, mixing, quality, queries, sharding, tokenfile, toxicity, urls
+from sitewise.llm import audio, bpe, common, jaccard, langid, mixing, quality, queries, sharding, tokenfile, toxicity, urls
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -592,6 +592,18 @@ def test_domains(spark, docs, nothing):
     assert scored.count() == 0 and mix.steps == []
 
 
+def test_posteriors_are_written_in_few_files(spark, sf_dir, tmp_path, monkeypatch):
+    """A folder, file and checksum of a small task each cost an executor a child: no more files than cores."""
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    many = docs.repartition(64)
+    assert common.few(many).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    _, mix, scored = mixing.mix_rates(many, labels, queries.label_domain(), queries.WEIGHTS)
+    assert scored.count() == docs.count()
+    assert len([*tmp_path.glob("sitewise/*/part-*")]) <= spark.sparkContext.defaultParallelism
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
 # --- classifiers -----------------------------------------------------------
 
 
