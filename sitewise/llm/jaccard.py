@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced, stored
+from .common import few, sliced, stored
 
 #: Words in a shingle, and the least similarity of a link.
 WORDS, LEAST = 5, 0.8
@@ -380,7 +380,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Large-star and small-star rounds in turn, each stored, until nothing changes; the number
     of rounds grows with the logarithm of the graph. Nothing but counts comes to the driver.
     """
-    pairs = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    pairs = stored(few(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), "edges")
     seen = None
     for _ in range(most_rounds):
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -389,7 +389,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.select("a", F.col("m").alias("b")).unionByName(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        pairs = stored(small, "edges")
+        pairs = stored(few(small), "edges")
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break
@@ -416,17 +416,17 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     Long texts are read in pieces. An empty table gives an empty result.
     """
     rows = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t"))
-    sketch = stored(_sketch(rows), "sketch")
+    sketch = stored(few(_sketch(rows)), "sketch")
     worded = sketch.filter("__bands is not null")
     # equal texts have equal bands: any row's will do, and copies are counted before they are shuffled
     firsts = worded.groupBy(F.col("__node").alias("node")).agg(F.min("__id").alias("rep"), F.count("*").alias("copies"), F.first("__chars").alias("chars"), F.first("__bands").alias("bands"))
-    firsts = stored(firsts, "nodes")
-    pairs = stored(_candidates(firsts), "pairs")
+    firsts = stored(few(firsts), "nodes")
+    pairs = stored(few(_candidates(firsts)), "pairs")
     wanted = pairs.select(F.explode("needs").alias("node")).distinct().join(firsts.select("node", "rep", "copies"), "node")
     digest = F.substring(F.unhex(F.sha2("__t", 256)), 1, 16)
     texts = rows.withColumn("__node", digest).join(wanted, (F.col("__node") == F.col("node")) & F.col("__id").eqNullSafe(F.col("rep")))
     texts = texts.select("node", F.col("__t").alias("text"), "copies").dropDuplicates(["node"])
-    links = stored(_verified(pairs, texts), "links")
+    links = stored(few(_verified(pairs, texts)), "links")
     degree = links.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"), F.sum("docs").alias("n_linked_docs"))
     label = components(links.filter("b is not null").select("a", "b"))
     of = firsts.select("node", "rep", "copies").join(label, "node", "left").select("node", "rep", "copies", F.coalesce("label", "node").alias("label"))

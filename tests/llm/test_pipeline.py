@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from sitewise.llm import langid, mixing, quality, queries
+from sitewise.llm import common, langid, mixing, quality, queries
 from tests.llm.test_operators import brute_force, verdict
 from tests.oracle import connect, difference
 
@@ -83,6 +83,23 @@ def test_mixing_stage_matches_brute_force(spark, sf_dir):
     assert totals == pytest.approx(mix.expected, rel=1e-9) and (not mix.met or totals == pytest.approx(mix.targets, abs=1e-4 * sum(mix.targets)))
 
 
+def test_stages_write_few_files(spark, sf_dir, tmp_path, monkeypatch):
+    """Tables of many small partitions: no stage writes or returns more files than there are cores."""
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    docs, cores = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(64), spark.sparkContext.defaultParallelism
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(before, ("64", "false")):
+            spark.conf.set(k, v)
+        for i, (_, stage) in enumerate(cp.STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/sitewise/result{i}")
+        files = Counter(p.parent.name for p in tmp_path.glob("sitewise/*/part-*"))
+        assert len(files) > len(cp.STAGES) and max(files.values()) <= cores
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("sf", ["0.01", "0.1"])
 def test_targets_are_met(spark, sf):
     """On larger tables the stated shares are reached, for the query and for the pipeline."""
